@@ -38,6 +38,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` whose value is computed once per row.
+
+    The value passes through a one-element ``explode``: the optimizer cannot copy it into later
+    filters and lambdas, where a costly expression would run again for every element.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def constant_longs(values: list[int]) -> Column:
     """A constant array; the optimizer folds it into one literal, whatever its length."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")

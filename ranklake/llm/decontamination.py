@@ -26,7 +26,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, computed, constant_longs
 
 WIDTH = 5
 #: Words: runs of letters and digits of any script.
@@ -51,7 +51,8 @@ def hashes(words: str, width: int) -> Column:
 
 def sketch_items(items: DataFrame, item_id: str, item_text: str, threshold: float) -> DataFrame:
     """``(item, width, grams, need, probes)``: distinct shingles, how many must be found, the k smallest hashes."""
-    df = items.select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
+    df = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t"))
+    df = computed(df, "w", words_of(F.col("t"))).filter(F.size("w") > 0)
     df = df.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     grams = hashed = None
     for width in range(1, WIDTH + 1):
@@ -102,18 +103,17 @@ def verified(df: DataFrame) -> DataFrame:
     own = None
     for width in range(1, WIDTH + 1):
         own = F.when(F.col("width") == width, shingles("w", width)) if own is None else own.when(F.col("width") == width, shingles("w", width))
-    df = df.withColumn("n_found", F.size(F.array_intersect("grams", own)))
+    df = computed(df, "n_found", F.size(F.array_intersect("grams", own)))
     return df.filter(F.col("n_found") >= F.col("need")).select("id", "item", F.col("n").cast("bigint").alias("n_shingles"), F.col("n_found").cast("bigint"))
 
 
 def in_rows(rows: DataFrame, sketched: DataFrame, widths: list[int]) -> DataFrame:
     """Probes as a literal; a pair is verified at the first probe that its document holds."""
-    df, parts = rows.withColumn("w", words_of(F.col("text"))).drop("text"), []
+    df, parts = computed(rows, "w", words_of(F.col("text"))).drop("text"), []
     for width in widths:
         probes = [r.p for r in sketched.filter(F.col("width") == width).select(F.explode("probes").alias("p")).distinct().collect()]
-        literal = F.from_json(F.lit("[" + ",".join(map(str, probes)) + "]"), "array<bigint>")
-        parts.append(F.array_intersect(hashes("w", width), literal))
-    df = df.withColumn("hits", F.concat(*parts) if parts else F.expr("cast(array() as array<bigint>)")).filter(F.size("hits") > 0)
+        parts.append(F.array_intersect(hashes("w", width), constant_longs(probes)))
+    df = computed(df, "hits", F.concat(*parts) if parts else F.expr("cast(array() as array<bigint>)")).filter(F.size("hits") > 0)
     table = sketched.select("item", "width", "grams", "n", "need", "probes", F.explode("probes").alias("probe"))
     df = df.withColumn("probe", F.explode("hits")).join(F.broadcast(table), "probe")
     df = df.filter(F.get(F.array_intersect("probes", "hits"), F.lit(0)) == F.col("probe"))
@@ -127,7 +127,7 @@ def by_join(rows: DataFrame, sketched: DataFrame, widths: list[int]) -> DataFram
     """
     table = sketched.select("item", F.explode("probes").alias("probe"))
     top = {r.width: r.top for r in sketched.select("width", F.element_at("probes", -1).alias("p")).groupBy("width").agg(F.max("p").alias("top")).collect()}
-    words = rows.withColumn("w", words_of(F.col("text"))).drop("text")
+    words = computed(rows, "w", words_of(F.col("text"))).drop("text")
     keys = F.concat(*(F.filter(F.array_distinct(hashes("w", width)), lambda h, t=top[width]: h <= F.lit(t)) for width in widths))
     pairs = words.select("id", F.explode(keys).alias("probe")).join(table, "probe").select("id", "item").distinct()
     texts = words.dropDuplicates(["id"])
