@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_text, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from . import bpe, decontamination, html_text, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -50,6 +50,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
