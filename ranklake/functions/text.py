@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The stop words.
 STOP_WORDS = """
@@ -16,7 +17,7 @@ STOP_WORDS = """
 """.split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text):
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
