@@ -124,8 +124,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, component)``: the smallest id reachable from each of ``nodes(id)`` over ``edges(a, b)``."""
+def components(edges: DataFrame) -> DataFrame:
+    """``(id, component)``: the smallest id reachable from each end of ``edges(a, b)``."""
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
@@ -133,14 +133,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = labels.join(heard, labels.id == heard.a).select("id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("id").alias("via"), F.col("component").alias("further"))
         new = checkpoint(new.join(jump, F.col("component") == F.col("via")).select("id", F.least("component", "further").alias("component"), "old"))
-        changed = new.filter("component != old").limit(1).count()
         labels = new.select("id", "component")
-        if not changed:
-            return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        if new.filter("component != old").isEmpty():
+            return labels
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 2
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -154,7 +153,7 @@ def near_duplicates(
     # samples that differ at the threshold, with five deviations on top, change two bits each at most
     n, far = bands * rows, 1 - percent / 100
     limit = int(2 * (n * far + 5 * (n * far * (1 - far)) ** 0.5))
-    links, done, label = None, None, reps.select("id", F.col("id").alias("component"))
+    done, label = None, reps.select("id", F.col("id").alias("component"))
     for r in range(star_rounds + 1):
         labelled = members.join(label, "id")
         open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(r))).alias("lead"))
@@ -169,15 +168,18 @@ def near_duplicates(
         if done is not None:
             pairs = pairs.join(done, ["lo", "hi"], "left_anti")
         pairs = checkpoint(pairs)
-        if pairs.limit(1).count() == 0:
+        if pairs.isEmpty():
             continue
         done = pairs.select("lo", "hi") if done is None else done.union(pairs.select("lo", "hi"))
         near = near_pairs(pairs.select("a", "b"), sketches, limit)
         need = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         texts = source.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         found = checkpoint(confirm(near, texts, width, percent))
-        links = found if links is None else links.union(found)
-        label = checkpoint(components(reps.select("id"), links))
+        # only the components that the new links join are labelled anew
+        ends = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        edges = found.join(ends, "a").join(ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(edges).toDF("component", "root")
+        label = checkpoint(label.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
     whole = reps.select("digest", "id").join(label, "id").select("digest", "component")
     out = made.select("doc_id", "n", "digest").join(whole, "digest", "left")
     component = F.coalesce("component", "doc_id")
