@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import codecs
+import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The rank of pairs that no merge joins.
+NEVER = 1 << 60
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks of a file with one base64 token and its rank per line."""
@@ -36,12 +41,12 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes; ``ranks`` must hold all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 600_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_transitions = max_transitions
-        self.canonical: dict[bytes, bool] = {}
+        self.histories: dict[bytes, list | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
@@ -52,26 +57,52 @@ class Transducer:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """The defining procedure: merge the pair of lowest rank, leftmost first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            found = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if found[0] == 1 << 60:
-                break
-            i = found[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def history(self, token: bytes) -> list[tuple[int, bytes, bytes]] | None:
+        """Merges of a token on its own, lowest rank and leftmost first: each one's rank, with the first and the last part before it.
+
+        The end has the rank ``NEVER``.  None if the merges do not make the token.
+        """
+        if token not in self.histories:
+            if len(self.histories) > self.max_transitions:
+                self.histories.clear()
+            parts, seen = [token[i : i + 1] for i in range(len(token))], []
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(x + y, NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == NEVER:
+                    break
+                seen.append((rank, parts[0], parts[-1]))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.histories[token] = [*seen, (NEVER, token, token)] if len(parts) == 1 else None
+        return self.histories[token]
 
     def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether two tokens can be neighbours; an empty ``left`` is the start of the piece."""
+        """Whether two tokens can be neighbours; an empty ``left`` is the start of the piece.
+
+        They can unless, with both sides merging side by side in rank order, a merge across their border comes first.
+        """
         key = (left, right)
         if key not in self.pairs:
             if len(self.pairs) > self.max_transitions:
                 self.pairs.clear()
-            self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
+            self.pairs[key] = self.apart(self.history(left), self.history(right)) if left else self.history(right) is not None
         return self.pairs[key]
 
+    def apart(self, left: list | None, right: list | None) -> bool:
+        if left is None or right is None:
+            return False
+        i = j = 0
+        while True:
+            (x, _, end), (y, start, _) = left[i], right[j]
+            border = self.ranks.get(end + start, NEVER)
+            if border < x and border <= y:  # of equal ranks the leftmost goes first
+                return False
+            if x == y == NEVER:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
+
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Follow ``byte``: the next state and the ids emitted."""
         tail_byte, live, here = bytes([byte]), [], None
@@ -85,9 +116,8 @@ class Transducer:
             raise ValueError("the ranks do not hold every byte")
         live.append((b"", here))
         # emit what all hypotheses share, but for the last token, which the next pair check needs
-        shared = 0
-        shortest = min(len(p) for _, p in live)
-        while shared < shortest - 1 and all(p[shared] == here[shared] for _, p in live):
+        shared, most = 0, min([len(p) for _, p in live]) - 1
+        while shared < most and all([p[shared] == here[shared] for _, p in live]):
             shared += 1
         # ``shared`` tokens are agreed on; an agreed last token stays as context
         out = tuple(self.ranks[t] for t in here[:shared])
@@ -129,7 +159,7 @@ class Transducer:
 class Tokenizer:
     """Splits text by ``pattern`` and encodes each match; keeps the ids of up to ``max_pieces`` short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
         self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces: dict[str, bytes] = {}
@@ -137,32 +167,34 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, pieces = bytearray(), self.pieces
-        for match in self.pattern.finditer(text):
-            piece = match.group()
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = np.asarray(self.transducer.encode(piece.encode()), "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(pieces) >= self.max_pieces:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out += ids
-        return np.frombuffer(bytes(out), "<u4")
-
-    def decode_bytes(self, ids: Iterable[int]) -> Iterator[bytes]:
-        return map(self.tokens.__getitem__, ids)
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete: bytes of a character that spans tokens wait for its end."""
-        machine = codecs.getincrementaldecoder("utf-8")("strict")
-        for token in self.decode_bytes(ids):
-            text = machine.decode(token)
+        found, pieces = self.pattern.findall(text), self.pieces
+        if len(pieces) >= self.max_pieces:
+            pieces.clear()
+        long: dict[str, bytes] = {}
+        for piece in set(found).difference(pieces):
+            held = pieces if len(piece) <= 64 else long
+            ids = self.transducer.encode(piece.encode())
+            held[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        if long:
+            return np.frombuffer(b"".join([pieces[p] if p in pieces else long[p] for p in found]), "<u4")
+        return np.frombuffer(b"".join(map(pieces.__getitem__, found)), "<u4")
+
+    def decode(self, ids: np.ndarray, block: int = 8192) -> Iterator[str]:
+        """Text as it becomes complete, ``block`` ids at a time: bytes of a character that spans blocks wait for its end."""
+        machine, token = codecs.getincrementaldecoder("utf-8")("strict"), self.tokens.__getitem__
+        for i in range(0, len(ids), block):
+            text = machine.decode(b"".join(map(token, ids[i : i + block].tolist())))
             if text:
                 yield text
         machine.decode(b"", True)
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(ranks: bytes, pattern: str) -> Tokenizer:
+    """One tokenizer for all tasks that a worker process runs: transitions are worked out once."""
+    return Tokenizer(read_ranks(ranks), pattern)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every row; ``with_ids`` adds ``token_ids``.
 
@@ -173,13 +205,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<bigint>" if with_ids else "")
 
     def run(batches):
-        tokenizer = Tokenizer(read_ranks(shared.value), pattern)
+        tokenizer = tokenizer_of(shared.value, pattern)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = tokenizer.encode(text.as_py() or "")
                 digest = hashlib.sha256()
-                for part in tokenizer.decode(ids.tolist()):
+                for part in tokenizer.decode(ids):
                     digest.update(part.encode())
                 row = {id_col: key, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": digest.hexdigest()}
                 if with_ids:
