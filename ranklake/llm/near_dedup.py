@@ -8,8 +8,11 @@ r"""MinHash near-duplicate detection with odd sketches.
    components.  A pair whose sketches are too far apart is dropped; the others are confirmed on
    their full sets, and the links merge components.  A large group of copies thus needs as many
    comparisons as it has members.
-4. Pairs that share a bucket and are still in different components are all compared, so no link
-   that the bands see is lost.  Bands of 4 at similarity 0.8 miss a pair with probability 5e-8.
+4. Members of buckets that still hold several components go on by their rarest shingles (an exact
+   prefix filter, as far as the similarity requires): rounds of stars again, then all pairs of
+   different components that share one.  No link that the bands see is lost, and a large group of
+   near copies is not compared pair by pair.  Bands of 4 at similarity 0.8 miss a pair with
+   probability 5e-8.
 
 Components come from label propagation with pointer jumping over written tables; nothing about
 single documents reaches the driver.
@@ -60,11 +63,13 @@ class Shingler:
 
 
 def samples(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of each random linear map of the hashes, in blocks of bounded memory."""
-    best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        best = np.minimum(best, (a[:, None] * hashes[None, i : i + 2048] + b[:, None]).min(axis=1))
-    return best
+    """The smallest of each random linear map of the hashes' upper halves, in blocks that stay in the cache."""
+    short, best = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 512):
+        mapped = a[:, None] * short[None, i : i + 512]
+        mapped += b[:, None]
+        np.minimum(best, mapped.min(axis=1), out=best)
+    return best.astype(np.uint64)
 
 
 def odd_sketch(mins: np.ndarray) -> bytes:
@@ -81,8 +86,8 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         shingler, rng = Shingler(width), np.random.default_rng(31)
-        a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+        a = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -124,6 +129,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(id, key)``: the rarest shingles of each of ``texts(id, text)``.
+
+    In one order of all shingles, rare ones first, two sets of the wanted similarity share one of
+    their first ``n - ceil(n * percent / 100) + 1``: no pair is lost, and copies that each have
+    their own changes share few of them.
+    """
+
+    def run(batches):
+        shingler = Shingler(width)
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = shingler.hashes(text.as_py()).view(np.int64)
+                for i in range(0, len(hashes), 65536):
+                    part = hashes[i : i + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key, np.int64)), pa.array(part)], names=["id", "key"])
+
+    rows = checkpoint(texts.mapInArrow(run, "id bigint, key bigint"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("m"))
+    ordered = rows.join(counts, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    return ordered.select("id", F.explode(first).alias("s")).filter("s.m > 1").select("id", F.col("s.key").alias("key"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id reachable from each end of ``edges(a, b)``."""
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -138,6 +168,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def undecided(labelled: DataFrame, seed: int) -> DataFrame:
+    """``(key, lead)`` of the buckets that hold several components; the lead is a member chosen by hash."""
+    lead = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed))).alias("lead")
+    return labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead).filter("lo != hi").select("key", "lead")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 2
 ) -> DataFrame:
@@ -154,11 +190,17 @@ def near_duplicates(
     n, far = bands * rows, 1 - percent / 100
     limit = int(2 * (n * far + 5 * (n * far * (1 - far)) ** 0.5))
     done, label = None, reps.select("id", F.col("id").alias("component"))
-    for r in range(star_rounds + 1):
+    for r in range(2 * star_rounds + 1):
         labelled = members.join(label, "id")
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(r))).alias("lead"))
-        open_keys = open_keys.filter("lo != hi").select("key", "lead")
-        if r < star_rounds:
+        open_keys = undecided(labelled, r)
+        if r == star_rounds:
+            # what the bands leave open goes on by its rarest shingles
+            left = labelled.join(open_keys.select("key"), "key", "left_semi").select("id").distinct()
+            texts = source.withColumnRenamed("doc_id", "id").join(left, "id", "left_semi").dropDuplicates(["id"])
+            members = checkpoint(prefixes(texts, width, percent))
+            labelled = members.join(label, "id")
+            open_keys = undecided(labelled, r)
+        if r < 2 * star_rounds:
             pairs = labelled.join(open_keys, "key").filter("component != lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         else:
             rest = checkpoint(labelled.join(open_keys.select("key"), "key"))
