@@ -38,6 +38,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def lower_words(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z lower-cased: on bytes, ``lower`` and ``split`` know ASCII letters and white space only."""
+    return (text or "").encode().lower().split()
+
+
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``withColumn`` whose value is computed once per row.
 

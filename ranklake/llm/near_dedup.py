@@ -25,17 +25,14 @@ are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import checkpoint, lower_words
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SKETCH_BITS = 512
 
 
@@ -43,17 +40,19 @@ class Shingler:
     """Distinct word shingles of a text as sorted 64-bit hashes; word hashes are kept, up to a bound."""
 
     def __init__(self, width: int, max_words: int = 500_000):
-        self.width, self.max_words, self.known, self.find = width, max_words, {}, re.compile(WORD).findall
+        self.width, self.max_words, self.known = width, max_words, {}
         self.weights = np.random.default_rng(97).integers(1, 1 << 63, width + 1, dtype=np.uint64) | np.uint64(1)
 
     def hashes(self, text: str | None) -> np.ndarray:
-        words = self.find((text or "").translate(LOWER))
+        words = lower_words(text)
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.known) > self.max_words:
-            self.known.clear()
         known = self.known
-        ids = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w.encode())) for w in words), np.uint64, len(words))
+        if len(known) > self.max_words:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = xxhash.xxh3_64_intdigest(word)
+        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(words))
         mixed = np.full(len(ids) - k + 1, k, np.uint64) * self.weights[-1]
         for j in range(k):
@@ -72,6 +71,15 @@ def samples(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.astype(np.uint64)
 
 
+def band_keys(mins: np.ndarray) -> np.ndarray:
+    """One hash of each row, different for equal rows of different bands."""
+    mixed = np.arange(1, len(mins) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for column in mins.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
+
+
 def odd_sketch(mins: np.ndarray) -> bytes:
     bits = np.zeros(SKETCH_BITS, np.uint8)
     mixed = (mins ^ (np.arange(1, len(mins) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))) * np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +103,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 row = {"doc_id": key, "n": len(hashes)}
                 if len(hashes):
                     mins = samples(hashes, a, b)
-                    keys = [xxhash.xxh3_64_intdigest(mins[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(bands)]
+                    keys = band_keys(mins.reshape(bands, rows)).tolist()
                     row |= {"digest": xxhash.xxh3_128_hexdigest(hashes.tobytes()), "keys": keys, "sketch": odd_sketch(mins)}
                 out.append(row)
             for i in range(0, len(out), 512):
@@ -175,7 +183,7 @@ def undecided(labelled: DataFrame, seed: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 1
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -26,18 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, lower_words
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FIND = re.compile(WORD)
 
 
-def word_hashes(text: str, known: dict, max_words: int = 500_000) -> np.ndarray:
-    words = FIND.findall(text.translate(LOWER))
+def word_hashes(text: str | None, known: dict, max_words: int = 500_000) -> np.ndarray:
+    words = lower_words(text)
     if len(known) > max_words:
         known.clear()
-    return np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w.encode())) for w in words), np.uint64, len(words))
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh3_64_intdigest(word)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def stretches(ids: np.ndarray, n: int) -> np.ndarray:
@@ -77,7 +78,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         known: dict = {}
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = word_hashes(text.as_py() or "", known)
+                ids = word_hashes(text.as_py(), known)
                 if len(ids) < length:
                     continue
                 at = selected(stretches(ids, gram), window)
@@ -96,7 +97,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         known: dict = {}
         for batch in batches:
             for key, text, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                digests = stretches(word_hashes(text.as_py() or "", known), length)
+                digests = stretches(word_hashes(text.as_py(), known), length)
                 starts = np.unique((np.asarray(ats.as_py(), np.int64)[:, None] - np.arange(window)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts < len(digests))]
                 for i in range(0, len(starts), 65536):
