@@ -162,15 +162,21 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return ordered.select("id", F.explode(first).alias("s")).filter("s.m > 1").select("id", F.col("s.key").alias("key"))
 
 
+def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Written, and read by as many tasks as its rows need: small tables then make few shuffle files."""
+    df = checkpoint(df)
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id reachable from each end of ``edges(a, b)``."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
+    both = compact(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = compact(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         heard = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("heard"))
         new = labels.join(heard, labels.id == heard.a).select("id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("id").alias("via"), F.col("component").alias("further"))
-        new = checkpoint(new.join(jump, F.col("component") == F.col("via")).select("id", F.least("component", "further").alias("component"), "old"))
+        new = compact(new.join(jump, F.col("component") == F.col("via")).select("id", F.least("component", "further").alias("component"), "old"))
         labels = new.select("id", "component")
         if new.filter("component != old").isEmpty():
             return labels
@@ -217,19 +223,19 @@ def near_duplicates(
         pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").dropDuplicates(["lo", "hi"])
         if done is not None:
             pairs = pairs.join(done, ["lo", "hi"], "left_anti")
-        pairs = checkpoint(pairs)
+        pairs = compact(pairs)
         if pairs.isEmpty():
             continue
         done = pairs.select("lo", "hi") if done is None else done.union(pairs.select("lo", "hi"))
         near = near_pairs(pairs.select("a", "b"), sketches, limit)
         need = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         texts = source.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        found = checkpoint(confirm(near, texts, width, percent))
+        found = compact(confirm(near, texts, width, percent))
         # only the components that the new links join are labelled anew
         ends = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         edges = found.join(ends, "a").join(ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = components(edges).toDF("component", "root")
-        label = checkpoint(label.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+        label = compact(label.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
     whole = reps.select("digest", "id").join(label, "id").select("digest", "component")
     out = made.select("doc_id", "n", "digest").join(whole, "digest", "left")
     component = F.coalesce("component", "doc_id")
@@ -247,4 +253,4 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= limit))
 
-    return checkpoint(both.mapInArrow(run, "a bigint, b bigint"))
+    return compact(both.mapInArrow(run, "a bigint, b bigint"))
