@@ -10,7 +10,7 @@ r"""MinHash near-duplicate detection with odd sketches.
    comparisons as it has members.
 4. Members of buckets that still hold several components go on by their rarest shingles (an exact
    prefix filter, as far as the similarity requires): rounds of stars again, then all pairs of
-   different components that share one.  No link that the bands see is lost, and a large group of
+   different components that share one early enough.  No link that the bands see is lost, and a large group of
    near copies is not compared pair by pair.  Bands of 4 at similarity 0.8 miss a pair with
    probability 5e-8.
 
@@ -138,7 +138,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(id, key)``: the rarest shingles of each of ``texts(id, text)``.
+    """``(id, key, n, at)``: set size, and the rarest shingles with their places of each of ``texts(id, text)``.
 
     In one order of all shingles, rare ones first, two sets of the wanted similarity share one of
     their first ``n - ceil(n * percent / 100) + 1``: no pair is lost, and copies that each have
@@ -159,7 +159,7 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     ordered = rows.join(counts, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("all"))
     n = F.size("all")
     first = F.slice("all", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    return ordered.select("id", F.explode(first).alias("s")).filter("s.m > 1").select("id", F.col("s.key").alias("key"))
+    return ordered.select("id", n.alias("n"), F.posexplode(first).alias("at", "s")).filter("s.m > 1").select("id", F.col("s.key").alias("key"), "n", "at")
 
 
 def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
@@ -218,8 +218,10 @@ def near_duplicates(
             pairs = labelled.join(open_keys, "key").filter("component != lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         else:
             rest = checkpoint(labelled.join(open_keys.select("key"), "key"))
-            other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = rest.join(other, "key").filter("component != cb and id < b").select(F.col("id").alias("a"), "b")
+            other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("atb"))
+            # what the first shared shingle leaves of both sets must suffice
+            enough = f"{100 + percent} * least(n - at, nb - atb) >= {percent} * (n + nb)"
+            pairs = rest.join(other, "key").filter(f"component != cb and id < b and {enough}").select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").dropDuplicates(["lo", "hi"])
         if done is not None:
             pairs = pairs.join(done, ["lo", "hi"], "left_anti")
