@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    """One document of each group of near copies stays: 80 % of five-word shingles, as ``decontamination`` takes them (four words are op6's own)."""
+    kept = near_dedup.near_duplicates(docs, width=5).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
