@@ -3,10 +3,11 @@
 A page becomes blocks of text, each with its root-to-leaf path of structural tags (with classes).
 Text length, punctuation and link text are aggregated per path; a path's ratios (length per block
 and punctuation per block) are smoothed over neighbouring blocks in page order, fused by their
-product, and paths over a share of the best one are content.  The content root is the deepest
-element that holds most of the content; its blocks are the article, but for blocks in menus,
-headers, footers, sidebars, notices, adverts, forms and comments, which are known by tag, role or
-class, and paths that are mostly links.
+product, and paths over a share of the best one are content.  The content root is the
+article or main element that holds most of the content, or else the deepest element outside of which
+there is no content and no heading; its blocks are the article, but for blocks in menus, headers,
+footers, sidebars, notices, adverts, forms and comments, which are known by tag, role or class, and,
+where the root is no article or main, paths that are mostly links (``h1`` stays).
 
 Defined results: null, empty and text-free pages give an empty text; broken markup is closed as
 browsers do; a ``br`` is white space; repeated rows stay repeated; an empty table gives an empty
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BAD_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 BAD_WORDS = {
@@ -185,17 +187,22 @@ def main_text(page: str | None, share: float = 0.1) -> str:
         weight = [len(b.text) for b in blocks]
     inside = [0] * len(nodes)
     for b, w in zip(blocks, weight, strict=True):
-        inside[b.node] += w
+        tag = nodes[b.node].tag
+        inside[b.node] += len(b.text) if tag == "h1" or tag in HEADINGS and path(b.node) not in linky else w
     for i in range(len(nodes) - 1, 0, -1):  # children follow their parents
         inside[nodes[i].parent] += inside[i]
-    root, containers = 0, {"p", "li", "td", "th", "tr", "blockquote", "pre", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6"}
-    for i in range(1, len(nodes)):
-        if nodes[i].parent == root and inside[i] * 2 > inside[0] and nodes[i].tag not in containers and not nodes[i].bad:
-            root = i
+    containers = {"p", "li", "td", "th", "tr", "blockquote", "pre", "ul", "ol", "dl", *HEADINGS}
+    # the topmost article or main with most of the content
+    root = next((i for i in range(1, len(nodes)) if nodes[i].tag in ("article", "main") and inside[i] * 2 > inside[0] and not nodes[i].bad), 0)
+    article = root > 0
+    if not article:
+        for i in range(1, len(nodes)):
+            if nodes[i].parent == root and inside[i] == inside[0] and nodes[i].tag not in containers and not nodes[i].bad:
+                root = i
     holds = [False] * len(nodes)
     for i in range(len(nodes)):
         holds[i] = i == root or (i > 0 and holds[nodes[i].parent])
-    return "\n".join(b.text for b in blocks if holds[b.node] and path(b.node) not in linky)
+    return "\n".join(b.text for b in blocks if holds[b.node] and (article or nodes[b.node].tag == "h1" or path(b.node) not in linky))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -23,3 +23,21 @@ def test_sample_pages(spark):
         inner = re.search("<article>(.*)</article>", r.html, re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub("<b>|</b>", "", x)).split()) for x in re.split("<br>|</?p>|</?h1>", inner)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+LONG = " ".join(["A sentence, with some words in it."] * 8)
+
+
+def page(inner):
+    return f'<html><body><nav><ul><li><a href="/">Home</a></ul></nav>{inner}<footer>(c) x</footer></body></html>'
+
+
+def test_whole_article():
+    for inner, want in [
+        (f"<article><h1>Title</h1><div class='body'><p>{LONG}</p><p>{LONG}</p></div></article>", ["Title", LONG, LONG]),
+        (f"<article><section><p>{LONG}</p><p>{LONG}</p></section><section><p>{LONG}</p></section></article>", [LONG] * 3),
+        (f"<article><h1><a href='x'>Title</a></h1><p>{LONG}</p><ul><li><a href='y'>One</a><li><a href='z'>Two</a></ul></article>", ["Title", LONG, "One", "Two"]),
+        (f"<div><h1><a href='x'>Title</a></h1><div><p>{LONG}</p><p>{LONG}</p></div></div><div><a href='y'>More</a></div>", ["Title", LONG, LONG]),
+        (f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>Part</h2><p>{LONG}</p></section></div>", [LONG, LONG, "Part", LONG]),
+    ]:
+        assert main_text(page(inner)).split("\n") == want, inner
