@@ -9,6 +9,11 @@ there is no content and no heading; its blocks are the article, but for blocks i
 footers, sidebars, notices, adverts, forms and comments, which are known by tag, role or class, and,
 where the root is no article or main, paths that are mostly links (``h1`` stays).
 
+A class or id marks an element by a whole name, by a name's leading part, or by its last part for
+page structure (``site-footer``, but not ``has-sidebar``).  Marks of ``form`` and of classes but for
+comments are weak: the page's largest article or main clears those above it, and an element that
+holds most of the page's text loses its own unless there is an article or much other text beside it.
+
 Defined results: null, empty and text-free pages give an empty text; broken markup is closed as
 browsers do; a ``br`` is white space; repeated rows stay repeated; an empty table gives an empty
 result; other columns are ignored.
@@ -36,6 +41,10 @@ BAD_WORDS = {
     "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related",
     "replies", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+WEAK, STRONG = 1, 2
+COMMENTS = {"comment", "comments", "disqus", "replies"}
+STRUCTURE = {"footer", "header", "menu", "nav", "navbar", "navigation", "sidebar"}
+NEGATIONS = {"has", "is", "no", "not", "with", "without"}
 #: What an opening tag closes, up to the container that stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -48,8 +57,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 class Node:
     tag: str
     parent: int
-    bad: bool
+    mark: int  # own: 0 none, WEAK or STRONG
     label: str
+    bad: int = 0  # with what it inherits
 
 
 @dataclass
@@ -60,19 +70,61 @@ class Block:
     text: str = ""
 
 
-def described(attributes: str) -> tuple[str, bool]:
-    """Class names, and whether class, id or role mark what is not content."""
-    label, bad = "", False
+def named(name: str) -> int:
+    """The mark of one class name or id."""
+    if name in COMMENTS:
+        return STRONG
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not parts:
+        return 0
+    return WEAK if name in BAD_WORDS or parts[0] in BAD_WORDS or (parts[-1] in STRUCTURE and NEGATIONS.isdisjoint(parts)) else 0
+
+
+def described(attributes: str) -> tuple[str, int]:
+    """Class names, and how class, id or role mark what is not content."""
+    label, mark = "", 0
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "class":
             label = value
-        bad |= value in BAD_ROLES if name.lower() == "role" else any(w in BAD_WORDS for w in re.split(r"[^a-z]+", value))
-    return label, bad
+        if name.lower() == "role":
+            mark = max(mark, (WEAK if value == "form" else STRONG) if value in BAD_ROLES else 0)
+        else:
+            mark = max([mark, *map(named, value.split())])
+    return label, mark
+
+
+def resolve(nodes: list[Node], blocks: list[Block]) -> None:
+    """Marks as inherited, without the weak ones that would cost the page's main text."""
+    n = len(nodes)
+    size, end = [0] * n, list(range(1, n + 1))
+    for b in blocks:
+        size[b.node] += len(b.text)
+    own = size[:]
+    for i in range(n - 1, 0, -1):  # children follow their parents
+        up = nodes[i].parent
+        size[up] += size[i]
+        end[up] = max(end[up], end[i])
+    articles = [i for i in range(n) if nodes[i].tag in ("article", "main") and size[i]]
+    largest = max(articles, key=size.__getitem__, default=0)
+
+    def inherit() -> None:
+        for i in range(1, n):
+            above = nodes[nodes[i].parent].bad
+            nodes[i].bad = 0 if nodes[i].tag == "body" else max(nodes[i].mark, 0 if i == largest and above == WEAK else above)
+
+    inherit()
+    for i in range(1, n):
+        if nodes[i].mark == WEAK and nodes[i].bad == WEAK and not nodes[nodes[i].parent].bad and size[i] * 2 > size[0]:
+            beside = sum(own[j] for j in range(n) if not i <= j < end[i] and not nodes[j].bad)
+            other = any(not nodes[j].bad and (end[j] <= i or j >= end[i]) for j in articles)
+            if beside * 4 < size[i] and not other:
+                nodes[i].mark = 0
+                inherit()
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
-    nodes, blocks, stack = [Node("", -1, False, "")], [Block(0)], [0]
+    nodes, blocks, stack = [Node("", -1, 0, "")], [Block(0)], [0]
     links = at = 0
 
     def block() -> None:
@@ -135,20 +187,21 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                     if nodes[stack[i]].tag in own:
                         del stack[i:]
                         break
-            label, bad = described(match.group(3))
+            label, mark = described(match.group(3))
             up = stack[-1]
             if tag in ("html", "body", "article", "main"):
-                bad = False
-            bad = bad or nodes[up].bad or tag in BAD_TAGS
-            if tag == "body":
-                bad = False
-            nodes.append(Node(tag, up, bad, label))
+                mark = 0
+            if tag in BAD_TAGS:
+                mark = max(mark, WEAK if tag == "form" else STRONG)
+            nodes.append(Node(tag, up, mark, label))
             stack.append(len(nodes) - 1)
             links = 0
             block()
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return nodes, [b for b in blocks if b.text]
+    blocks = [b for b in blocks if b.text]
+    resolve(nodes, blocks)
+    return nodes, blocks
 
 
 def main_text(page: str | None, share: float = 0.1) -> str:

@@ -41,3 +41,18 @@ def test_whole_article():
         (f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>Part</h2><p>{LONG}</p></section></div>", [LONG, LONG, "Part", LONG]),
     ]:
         assert main_text(page(inner)).split("\n") == want, inner
+
+
+def test_marked_wrappers():
+    article, side = f"<article><h1>Title</h1><p>{LONG}</p></article>", f"<p>{LONG}</p>"
+    for start in ("<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class='post social-share-on'>", "<div id='content-widget'>", "<form action='x'>"):
+        assert main_text(page(f"{start}{article}")).split("\n")[:2] == ["Title", LONG], start
+        assert main_text(page(f"{start}<div><p>{LONG}</p><p>{LONG}</p></div><nav>Menu</nav>")).split("\n")[:2] == [LONG, LONG], start
+    assert main_text(f"<html><body><form>{page(article)}</form>") == f"Title\n{LONG}"
+    # what is not the main text stays out, however long, with an article in it or not
+    for start in ("<div class='comments'>", "<div class='sidebar'>", "<div class='site-footer'>", "<div class='cookie-banner'>", "<form>", "<aside>"):
+        end = f"</{start[1:].split('>')[0].split()[0]}>"
+        assert main_text(page(f"{article}{start}{side * 3}{end}")) == f"Title\n{LONG}", start
+    assert main_text(page(f"{article}<div class='comments'>{article * 3}</div>")) == f"Title\n{LONG}"
+    assert main_text(page(f"{article}<div class='sidebar'><article><p>Short.</p></article></div>")) == f"Title\n{LONG}"
+    assert main_text(page(f"<p>{LONG}</p><div class='comments'>{side * 4}</div>")) == LONG
