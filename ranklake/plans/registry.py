@@ -75,6 +75,7 @@ def token_counts(spark, sf_dir):
 
 
 def channels(spark, sf_dir):
+    """Both are BM25, cut to the top 20 as in the SQL: until LSA exists, b = 0 stands in for the semantic channel."""
     return keyword(spark, sf_dir), keyword(spark, sf_dir, b=0.0)
 
 
