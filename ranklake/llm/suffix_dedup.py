@@ -1,9 +1,9 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by digests of stretches at selected positions, in place of a suffix array.
 
 Only suffixes at content-selected positions are kept: word positions whose ``gram``-word hash is the
 smallest of some ``window`` neighbours.  Any passage of ``length`` words holds such a position among
 its first ``window``, so its suffix there shares ``length - window + 1`` words with every copy.
-Suffixes are shuffled and sorted by the digest of these words; equal neighbours are seeds.  Seeds
+Suffixes are grouped by the digest of these words, not sorted by words; equal ones are seeds.  Seeds
 are extended to the left and right, to every ``length``-word stretch that holds them, and stretches
 found twice or more are repeats; their union covers every repeated passage of ``length`` words or
 more, and nothing else.  The first occurrence, by id and place, stays; the others can be cut.
