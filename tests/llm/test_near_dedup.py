@@ -35,6 +35,6 @@ def test_equals_brute_force(spark):
         rows.append((10_000 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])))
     rows += [(20_000, None), (20_001, ""), (20_002, "Ab c"), (20_003, "aB  c"), (20_004, " \n")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("clash"))
-    got = {tuple(r) for r in near_duplicates(docs).collect()}
+    got = {tuple(r) for r in near_duplicates(docs, width=4).collect()}
     assert got == brute_force(rows)
-    assert near_duplicates(docs.limit(0)).count() == 0
+    assert near_duplicates(docs.limit(0), width=4).count() == 0
