@@ -264,7 +264,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     firsts = ids.join(nodes, "digest")
     names = firsts.groupBy("comp").agg(F.min("first").alias("name"))
     named = ids.join(firsts.join(names, "comp").select("digest", "name", F.lit(True).alias("met")), "digest", "left")
-    named = named.select("digest", F.expr("if(met, name, first)").alias("name"), F.lit(True).alias("known"))
+    # written, so that the join below is a plain one, whose hot digests Spark can split
+    named = scratch.keep(named.select("digest", F.expr("if(met, name, first)").alias("name"), F.lit(True).alias("known")))
     out = made.select("doc_id", "t", "n", "digest").join(named, "digest", "left")
     out = checkpoint(out.select("doc_id", "t", "n", F.expr("if(known, name, doc_id)").alias("component_id")))
     scratch.drop()
