@@ -42,8 +42,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_repeat_words", "n_cut_words", "cut_spans")
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,35 @@
-"""Repeated passages by digests of stretches at selected positions, in place of a suffix array.
+"""Repeated passages by a sparse suffix array.
 
 Only suffixes at content-selected positions are kept: word positions whose ``gram``-word hash is the
-smallest of some ``window`` neighbours.  Any passage of ``length`` words holds such a position among
-its first ``window``, so its suffix there shares ``length - window + 1`` words with every copy.
-Suffixes are grouped by the digest of these words, not sorted by words; equal ones are seeds.  Seeds
-are extended to the left and right, to every ``length``-word stretch that holds them, and stretches
-found twice or more are repeats; their union covers every repeated passage of ``length`` words or
-more, and nothing else.  The first occurrence, by id and place, stays; the others can be cut.
+smallest of some ``window`` neighbours.  Any stretch of ``length`` words holds such a position among
+its first ``window``, its anchor, and every copy of the stretch has the same anchor.  So each stretch
+belongs to one suffix, which starts at most ``window - 1`` words into it, and copies of a stretch share the
+first ``length - window + 1`` words of their suffixes.
 
-Texts never meet: rows hold digests, ids and places, and a group of any size is only aggregated
-(count and first occurrence).
+1. One pass gives the suffixes' digests of that many words; those found once are dropped.
+2. What is left gets its words: those before the anchor that its stretches need, and the next ``length``.
+   These are sorted by their words, over range partitions, which split a passage that many texts hold.
+3. In the sorted order each suffix is compared with its neighbour, word by word.  Where the common
+   words end decides how far matches reach to the right; suffixes with enough common words are then
+   matched to the left.  Matches of ``length`` words or more come out as runs of the text, marked where
+   they are the first of their kind.  Runs of suffixes at a partition's ends wait for the neighbouring
+   partitions: only the first of each kind in a partition is passed on, and counted again.
+
+Texts that are equal as a whole are one text in all of this: their rows get its runs, and all but the
+first row are repeats throughout.  The first occurrence of a stretch, by id, text and place, stays;
+others can be cut.  The result is the union of all stretches of ``length`` words that occur twice,
+and nothing else.
 
 Defined results: null, empty and short texts have no repeats; words are compared in lower case (A-Z);
-rows of one id are one document (the largest text counts); rows without id are left as they are; an
-empty table gives an empty result; other columns are ignored.
+every row is a document of its own, also where ids repeat; of equal texts the first has the smallest
+id (null last), and rows that share it stay alike; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +37,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, lower_words
+from .common import WORD, Scratch, checkpoint, lower_words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FIND = re.compile(WORD)
+#: Places take so many bits beside a gram's hash; longer than any text.
+PLACE_BITS = 30
+#: Sorted suffixes that one task holds.
+SUFFIXES_PER_TASK = 20_000
+#: Words are joined by a byte that sorts before all of theirs, so that suffixes with common words are neighbours.
+END, CONTROLS = b"\x00", re.compile(rb"[\x00-\x08]")
+SHIFTED = bytes(range(1, 10)) + bytes(range(9, 256))
 
 
-def word_hashes(text: str | None, known: dict, max_words: int = 500_000) -> np.ndarray:
+def sortable_words(text: str | None) -> list[bytes]:
+    """Words in which the byte 0 does not occur; 0 to 8 become 1 to 9, of which 9 is free, being white space."""
     words = lower_words(text)
+    return [w.translate(SHIFTED) for w in words] if CONTROLS.search((text or "").encode()) else words
+
+
+def word_hashes(words: list[bytes], known: dict, max_words: int = 500_000) -> np.ndarray:
     if len(known) > max_words:
         known.clear()
     for word in set(words).difference(known):
@@ -57,103 +80,315 @@ def stretches(ids: np.ndarray, n: int) -> np.ndarray:
     return mixed(power[: len(ids) - n + 1], power[n - size : n - size + len(ids) - n + 1])
 
 
-def selected(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions whose gram is the leftmost smallest of some ``window`` neighbours."""
-    if len(grams) < window:
-        return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    parts = [views[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)]
-    return np.unique(np.concatenate(parts))
+def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each ``n`` neighbours, by doubling."""
+    size = 1
+    out = values
+    while size * 2 <= n:
+        out = np.minimum(out[: len(out) - size], out[size:])
+        size *= 2
+    m = len(values) - n + 1
+    return np.minimum(out[:m], out[n - size : n - size + m])
+
 
+def anchors(ids: np.ndarray, length: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor positions, and how many words before each its first and its last stretch start."""
+    if len(ids) < length:
+        return (np.empty(0, np.int64),) * 3
+    grams = stretches(ids, gram)
+    places = np.arange(len(grams), dtype=np.uint64)
+    # the leftmost of the smallest hashes; its place comes with it
+    keys = (grams >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS) | places
+    at = (sliding_min(keys, window)[: len(ids) - length + 1] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    last = np.r_[first[1:], len(at)] - 1
+    return at[first], at[first] - first, at[first] - last
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, window: int = 16, gram: int = 8) -> DataFrame:
-    """``(id, all_starts, cut_starts)``: word positions where repeated stretches of ``length`` start.
 
-    ``cut_starts`` leaves out the first occurrence of each stretch.  Only documents with repeats have a row.
+def suffix_digests(texts: DataFrame, length: int, window: int, gram: int, max_seen: int = 500_000) -> DataFrame:
+    """``(d, u, at, far, near, n_words)`` of ``texts(u, text)``; a text without suffixes has one row, with its word count only.
+
+    ``n_words`` is on a text's first row.  A task gives the rows of equal texts once, as far as it remembers them.
     """
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["d", "u", "at", "far", "near", "n_words"]
     seed = length - window + 1
 
-    def suffixes(batches):
+    def run(batches):
         known: dict = {}
+        seen: set = set()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = word_hashes(text.as_py(), known)
-                if len(ids) < length:
+            held, size = [], 0
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if u in seen:
                     continue
-                at = selected(stretches(ids, gram), window)
-                at = at[at <= len(ids) - seed]
-                digests = stretches(ids, seed)[at].view(np.int64)
-                for i in range(0, len(at), 65536):
-                    part = slice(i, i + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(digests[part]), pa.array(np.full(len(at[part]), key)), pa.array(at[part].astype(np.int32))], names=["digest", "doc_id", "at"])
-
-    rows = checkpoint(source.mapInArrow(suffixes, "digest bigint, doc_id bigint, at int"))
-    twice = rows.groupBy("digest").agg(F.count("*").alias("m")).filter("m > 1").select("digest")
-    seeds = rows.join(twice, "digest", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    single = source.join(seeds.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-
-    def extended(batches):
-        known: dict = {}
+                if len(seen) >= max_seen:
+                    seen.clear()
+                seen.add(u)
+                ids = word_hashes(lower_words(text.as_py()), known)
+                at, far, near = anchors(ids, length, window, gram)
+                n = max(1, len(at))
+                count = np.zeros(n, np.int64)
+                count[0] = len(ids)
+                digests = stretches(ids, seed)[at].view(np.int64) if len(at) else np.zeros(1, np.int64)
+                at, far, near = (x if len(x) else np.full(1, -1) for x in (at, far, near))
+                held.append((digests, np.full(n, u), at, far, near, count))
+                size += n
+                if size >= 20_000:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
+
+    def packed(held):
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        types = (np.int64, np.int64, np.int32, np.int16, np.int16, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return texts.mapInArrow(run, "d bigint, u bigint, at int, far smallint, near smallint, n_words bigint")
+
+
+def with_words(seeds: DataFrame, length: int, window: int) -> DataFrame:
+    """``(right, before, u, o, at, far, near)`` of ``seeds(u, o, text, places)``: a suffix's next words and those before it, nearest first."""
+
+    def run(batches):
         for batch in batches:
-            for key, text, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                digests = stretches(word_hashes(text.as_py(), known), length)
-                starts = np.unique((np.asarray(ats.as_py(), np.int64)[:, None] - np.arange(window)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts < len(digests))]
-                for i in range(0, len(starts), 65536):
-                    part = starts[i : i + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests[part].view(np.int64)), pa.array(np.full(len(part), key)), pa.array(part.astype(np.int32))], names=["digest", "doc_id", "start"])
-
-    found = checkpoint(single.join(seeds, "doc_id").select("doc_id", "text", "ats").mapInArrow(extended, "digest bigint, doc_id bigint, start int"))
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("digest", "first")
-    marked = found.join(first, "digest")
-    cut = F.when((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start")), F.col("start"))
-    return marked.groupBy("doc_id").agg(F.collect_list("start").alias("all_starts"), F.collect_list(cut).alias("cut_starts")).withColumnRenamed("doc_id", id_col)
-
-
-def spans(starts: list[int], length: int) -> list[tuple[int, int]]:
-    """The union of stretches as half-open spans of words."""
+            for u, o, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                words, places = sortable_words(text.as_py()), places.as_py()
+                for i in range(0, len(places), 4096):
+                    part = places[i : i + 4096]
+                    at = [p["at"] for p in part]
+                    right = [END.join(words[a : a + length]) for a in at]
+                    before = [END.join(words[a - p["far"] : a][::-1]) for a, p in zip(at, part, strict=True)]
+                    columns = [pa.array(right, pa.binary()), pa.array(before, pa.binary()), pa.array([u] * len(at), pa.int64()), pa.array([o] * len(at), pa.int64())]
+                    columns += [pa.array(at, pa.int32()), *(pa.array([p[c] for p in part], pa.int16()) for c in ("far", "near"))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["right", "before", "u", "o", "at", "far", "near"])
+
+    return seeds.mapInArrow(run, "right binary, before binary, u bigint, o bigint, at int, far smallint, near smallint")
+
+
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+class Suffix:
+    """A sorted suffix: who it is, its words, and the common words with the suffix before it."""
+
+    __slots__ = ("at", "before", "common", "far", "near", "o", "right", "u")
+
+    def __init__(self, right, before, u, o, at, far, near):
+        self.right, self.before = right.split(END), before.split(END) if before else []
+        self.u, self.o, self.at, self.far, self.near, self.common = u, o, at, far, near, 0
+
+    @property
+    def place(self) -> tuple[int, int, int]:
+        return (self.o, self.u, self.at)
+
+
+def matched(interval: list[Suffix], length: int, border: bool) -> Iterator[tuple]:
+    """Rows ``(u, start, stop, kind, digest, o, n)`` from suffixes that share their first words, in order.
+
+    Kinds: ``repeat`` and ``first`` are runs of stretch starts, half-open; at a partition's border,
+    the first of each kind of stretch is ``open``, one row per stretch.
+    """
+    if len(interval) == 1 and not border:
+        return
+    state: dict[int, list] = {}  # by suffix: it and its matched starts
+    for back in range(max(s.far for s in interval), min(s.near for s in interval) - 1, -1):
+        group: dict[bytes, list[Suffix]] = {}
+
+        def close(group=group, back=back):
+            for members in group.values():
+                if len(members) < 2 and not border:
+                    continue
+                lead = min(members, key=lambda s: s.place)
+                for s in members:
+                    if s is lead and border:
+                        digest = xxhash.xxh3_128_digest(END.join([*s.before[:back][::-1], *s.right[: length - back]]))
+                        yield s.u, s.at - back, s.at - back + 1, "open", digest, s.o, len(members)
+                    else:
+                        state.setdefault(id(s), [s, []])[1].append((s.at - back, "first" if s is lead else "repeat"))
+            group.clear()
+
+        for s in interval:
+            # further suffixes have fewer words in common than the stretch has to the right of the anchor
+            if s.common < length - back and group:
+                yield from close()
+            if s.near <= back <= s.far:
+                group.setdefault(END.join(s.before[:back]), []).append(s)
+        yield from close()
+    for s, starts in state.values():
+        run = None
+        for start, kind in starts:  # ascending: the furthest back comes first
+            if run and run[1] == start and run[2] == kind:
+                run[1] = start + 1
+            else:
+                if run:
+                    yield s.u, run[0], run[1], run[2], None, s.o, 0
+                run = [start, start + 1, kind]
+        yield s.u, run[0], run[1], run[2], None, s.o, 0
+
+
+def neighbour_runs(ordered: DataFrame, length: int, window: int) -> DataFrame:
+    """Compares neighbours of each partition of the sorted suffixes."""
+    seed = length - window + 1
+    names = ["u", "start", "stop", "kind", "digest", "o", "n"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        out: list[tuple] = []
+        interval: list[Suffix] = []
+        first = True
+
+        def flush():
+            nonlocal out
+            rows, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = Suffix(*row)
+                if interval and interval[-1].place == s.place:  # from repeated rows
+                    continue
+                if interval:
+                    s.common = common_words(interval[-1].right, s.right)
+                    if s.common < seed:
+                        out.extend(matched(interval, length, border=first))
+                        interval, first = [], False
+                        if len(out) >= 20_000:
+                            yield flush()
+                interval.append(s)
+        if interval:
+            out.extend(matched(interval, length, border=True))
+        for i in range(0, len(out), 20_000):
+            held, out = out, out[i : i + 20_000]
+            yield flush()
+            out = held
+
+    return ordered.mapInArrow(run, "u bigint, start int, stop int, kind string, digest binary, o bigint, n bigint")
+
+
+def repeats(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, length: int, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``(u, first_id, m, n_words)`` of each different text, and its ``(u, runs, cut_runs)`` where there are any.
+
+    ``u`` is the text's hash, ``first_id`` the smallest id of its ``m`` rows; runs are half-open ranges of
+    places where repeated stretches start, ``cut_runs`` those that are not the first of their kind.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(text).alias("u"), F.col(id_col).cast("bigint").alias("id"), text.alias("text")).filter("text is not null")
+    units = scratch.keep(rows.groupBy("u").agg(F.min("id").alias("first_id"), F.count("*").alias("m")))
+    suffixes = scratch.keep(suffix_digests(rows.select("u", "text"), length, window, gram))
+    whole = suffixes.filter("at >= 0").select("d", "u", "at", "far", "near")
+    # in several texts, or at several places of one
+    found = whole.groupBy("d").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("u", "at")))
+    twice = found.filter("min_u != max_u or min_at != max_at").select("d")
+    places = whole.join(twice, "d", "left_semi").groupBy("u").agg(F.sort_array(F.collect_set(F.struct("at", "far", "near"))).alias("places"))
+    order = F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("o")
+    places = scratch.keep(places.join(units.select("u", order), "u"))
+    # one row of each text
+    texts = rows.select(F.col("u").alias("u2"), F.col("id").alias("id2"), "text")
+    same = (F.col("u") == F.col("u2")) & (F.col("o") == F.coalesce("id2", F.lit((1 << 63) - 1)))
+    seeds = scratch.keep(with_words(places.join(texts, same).select("u", "o", "text", "places"), length, window))
+    tasks = max(1, -(-seeds.count() // SUFFIXES_PER_TASK))
+    keys = ["right", "before", "o", "u", "at"]
+    ordered = seeds.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    found = scratch.keep(neighbour_runs(ordered, length, window))
+    waiting = found.filter("kind = 'open'")
+    place = F.struct("o", "u", "start")
+    kinds = waiting.groupBy("digest").agg(F.sum("n").alias("all"), F.min(place).alias("lead")).filter("all > 1")
+    settled = waiting.select("u", "start", "stop", "digest", "o").join(kinds, "digest")
+    late = settled.select("u", "start", "stop", F.when(F.col("lead") == place, "first").otherwise("repeat").alias("kind"))
+    runs = found.filter("kind != 'open'").select("u", "start", "stop", "kind").unionByName(late)
+    run = F.struct("start", "stop")
+    runs = runs.groupBy("u").agg(F.collect_list(run).alias("runs"), F.collect_list(F.when(F.col("kind") == "repeat", run)).alias("cut_runs"))
+    counts = suffixes.groupBy("u").agg(F.max("n_words").alias("n_words"))
+    return units.join(counts, "u"), runs
+
+
+def spans(runs: list, length: int) -> list[tuple[int, int]]:
+    """The union of the stretches that start in half-open ranges, as half-open spans of words."""
     out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + length)
+    for start, stop in sorted((r["start"], r["stop"]) for r in runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop - 1 + length))
         else:
-            out.append((s, s + length))
+            out.append((start, stop - 1 + length))
     return out
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, window: int = 16, gram: int = 8, keep_rows: bool = False) -> DataFrame:
-    """Per row: ``(id, n_words, n_repeat_words, n_cut_words, cut_spans, clean_text)``.
-
-    ``keep_rows`` returns the columns of ``docs`` instead, with cleaned texts.
-    """
-    found = repeats(docs, id_col=id_col, text_col=text_col, length=length, window=window, gram=gram)
-    names = docs.columns
-    found = found.withColumnsRenamed({id_col: "__id"})
-    joined = docs.join(found, docs[id_col].cast("bigint") == F.col("__id"), "left").drop("__id")
-    made = "n_words bigint, n_repeat_words bigint, n_cut_words bigint, cut_spans array<struct<start: bigint, stop: bigint>>, clean_text string"
+def passages(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, window: int = 24, gram: int = 8
+) -> DataFrame:
+    """``(id, t, n_words, repeat_spans, cut_spans)`` of every row; ``t`` is the text's hash, spans are half-open ranges of words."""
+    scratch = Scratch(docs.sparkSession)
+    units, runs = repeats(docs, scratch, id_col=id_col, text_col=text_col, length=length, window=window, gram=gram)
+    made = "struct<repeats: array<struct<start: bigint, stop: bigint>>, cuts: array<struct<start: bigint, stop: bigint>>>"
 
     @F.pandas_udf(made)
-    def cleaned(text, every, cuts):
+    def united(every, cuts):
         import pandas as pd
 
-        rows = []
-        for t, a, c in zip(text, every, cuts, strict=True):
-            t = t or ""
-            a = spans(list(a) if a is not None else [], length)
-            c = spans(list(c) if c is not None else [], length)
-            places = [m.span() for m in FIND.finditer(t)] if c else None
-            n = len(places) if c else len(FIND.findall(t))
-            clean, at = [], 0
-            for s, e in c:
-                clean.append(t[at : places[s][0]])
-                at = places[e - 1][1]
-            clean.append(t[at:])
-            rows.append((n, sum(e - s for s, e in a), sum(e - s for s, e in c), [{"start": s, "stop": e} for s, e in c], "".join(clean)))
-        return pd.DataFrame(rows, columns=["n_words", "n_repeat_words", "n_cut_words", "cut_spans", "clean_text"])
-
-    from_row = joined.withColumn("__r", cleaned(F.col(text_col).cast("string"), F.col("all_starts"), F.col("cut_starts")))
-    if keep_rows:
-        text = F.when(F.size("cut_starts") > 0, F.col("__r.clean_text")).otherwise(F.col(text_col))
-        return from_row.select(*(text.alias(c) if c == text_col else (F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c)) for c in names))
-    return from_row.select(F.col(id_col), "__r.n_words", "__r.n_repeat_words", "__r.n_cut_words", "__r.cut_spans", "__r.clean_text")
+        rows = [tuple([{"start": s, "stop": e} for s, e in spans(x if x is not None else [], length)] for x in pair) for pair in zip(every, cuts, strict=True)]
+        return pd.DataFrame(rows, columns=["repeats", "cuts"])
+
+    merged = scratch.keep(runs.select("u", united("runs", "cut_runs").alias("r")))
+    of_text = scratch.keep(units.join(merged, "u", "left").select(F.col("u").alias("t2"), "n_words", "first_id", "m", "r"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).isNull().alias("none"))
+    rows = rows.join(of_text, (F.col("t") == F.col("t2")) & ~F.col("none"), "left")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("stop")))
+    nothing = F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")
+    long = F.col("n_words") >= length
+    copy = long & (F.col("m") > 1)
+    later = long & ~F.col("id").cast("bigint").eqNullSafe(F.col("first_id"))
+    out = rows.select(
+        F.col("id").alias(id_col),
+        "t",
+        F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
+        F.when(copy, whole).otherwise(F.coalesce("r.repeats", nothing)).alias("repeat_spans"),
+        F.when(later, whole).otherwise(F.coalesce("r.cuts", nothing)).alias("cut_spans"),
+    )
+    out = checkpoint(out)
+    scratch.drop()
+    return out
+
+
+def words_in(spans_col: str):
+    return F.expr(f"aggregate({spans_col}, 0L, (n, s) -> n + s.stop - s.start)")
+
+
+def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: ``(id, n_words, n_repeat_words, n_cut_words, cut_spans)``."""
+    found = passages(docs, id_col=id_col, text_col=text_col, **options)
+    return found.select(id_col, "n_words", words_in("repeat_spans").alias("n_repeat_words"), words_in("cut_spans").alias("n_cut_words"), "cut_spans")
+
+
+def cut_text(text: str, cuts: list) -> str:
+    """``text`` without these spans of words; what stands between stays as it is."""
+    places = [m.span() for m in FIND.finditer(text)]
+    clean, at = [], 0
+    for span in cuts:
+        clean.append(text[at : places[span["start"]][0]])
+        at = places[span["stop"] - 1][1]
+    clean.append(text[at:])
+    return "".join(clean)
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The rows and columns of ``docs`` with cleaned texts; ``length_col`` names a column that holds the text's length."""
+    found = passages(docs, id_col=id_col, text_col=text_col, **options).filter("size(cut_spans) > 0")
+    found = found.select(F.col(id_col).cast("bigint").alias("__id"), F.col("t").alias("__t"), F.col("cut_spans").alias("__cuts")).dropDuplicates(["__id", "__t"])
+    same = (F.xxhash64(docs[text_col].cast("string")) == F.col("__t")) & docs[id_col].cast("bigint").eqNullSafe(F.col("__id"))
+
+    @F.pandas_udf("string")
+    def cleaned(text, cuts):
+        import pandas as pd
+
+        return pd.Series([None if t is None else cut_text(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
+
+    joined = docs.join(found, same, "left").withColumn("__clean", cleaned(F.when(F.col("__t").isNotNull(), docs[text_col].cast("string")), F.col("__cuts")))
+    new = {text_col: F.col("__clean"), length_col: F.coalesce(F.length("__clean"), F.lit(0)).cast("bigint")}
+    return joined.select(*(F.when(F.col("__t").isNotNull(), new[c]).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns))

@@ -47,7 +47,7 @@ def test_quality_statistics(docs, rows):
         assert not (r.base_failed and r.kept)
 
 
-def test_repeated_passages(docs, rows):
+def test_repeated_passages(docs, rows, monkeypatch):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     places = defaultdict(list)
     for key, text in sorted(rows):
@@ -61,9 +61,25 @@ def test_repeated_passages(docs, rows):
                 every[key] |= set(range(i, i + 50))
                 if n:
                     cut[key] |= set(range(i, i + 50))
-    got = {r.doc_id: r for r in suffix_dedup.dedup(docs).collect()}
-    assert {k: (r.n_repeat_words, r.n_cut_words) for k, r in got.items()} == {k: (len(every[k]), len(cut[k])) for k, _ in rows}
-    assert got[91_001].clean_text == "others " and got[91_000].n_cut_words == 0
+    for tasks in (20_000, 50):  # one partition, and passages that span several
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES_PER_TASK", tasks)
+        got = {r.doc_id: r for r in suffix_dedup.report(docs).collect()}
+        assert {k: (r.n_repeat_words, r.n_cut_words) for k, r in got.items()} == {k: (len(every[k]), len(cut[k])) for k, _ in rows}
+    clean = {r.doc_id: r for r in suffix_dedup.dedup(docs, length_col="n").collect()}
+    assert clean[91_001].text == "others " and clean[91_001].n == 7 and clean[91_000].text == dict(rows)[91_000]
+    assert clean[90_000].text is None and set(clean) == {k for k, _ in rows}
+
+
+def test_repeated_passages_of_repeated_ids(spark):
+    """Rows of one id with other texts are documents of their own; names of the operator's own columns may occur."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(1, "a " + passage), (1, "b c " + passage + " d"), (2, passage + " tail"), (None, passage), (2, "short"), (2, "short"), (3, None), (1, "a " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("all_starts", "cut_spans", "u", "t", "n_chars")})
+    got = sorted(suffix_dedup.report(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, r.n_cut_words))
+    assert [(r.doc_id, r.n_words, r.n_repeat_words) for r in got] == [(1, 56, 56), (1, 56, 56), (1, 58, 55), (2, 1, 0), (2, 1, 0), (2, 56, 55), (3, 0, 0), (None, 55, 55)]
+    assert sorted(r.n_cut_words for r in got if r.doc_id == 1) in ([0, 0, 55], [0, 55, 55]) and got[-1].n_cut_words == got[5].n_cut_words == 55
+    assert suffix_dedup.dedup(docs).columns == docs.columns and suffix_dedup.dedup(docs).count() == len(rows)
+    assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
 def test_url_rules(spark):
