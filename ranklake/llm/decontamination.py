@@ -7,26 +7,24 @@ from the largest member, so that fewer than ``k`` shingles may be missing and a
 reaches the threshold must hold one of the ``k`` — the search loses nothing, however long the
 document.  Candidates are verified by exact containment on the shingles' words.
 
-For a benchmark of a checked size the sketches are one literal, probed inside each row: texts are
-never shuffled and each pair is verified once, in the row that holds the text.  A larger benchmark
-takes a shuffled join of shingle hashes instead, pre-filtered by the sketches' largest hash.
+The sketches of items of up to ``max_item_probes`` hashes are a literal, probed inside each row, while
+all of them together stay within a checked size: texts are then never shuffled, and each pair is verified
+once, in the row that holds the text.  Longer items, and all of a larger benchmark, take a
+shuffled join of shingle hashes instead, pre-filtered by the sketches' largest hash.  Both give the same rows.
 
 An item of fewer than five words is one shingle, its whole word sequence.
 
 Defined results: words are compared in lower case without punctuation; null, empty and wordless
-texts and items match nothing; equal items are matched each; repeated rows are reported once per
-row in the in-row form and once per id in the join form; an empty table gives an empty result; other
-columns are ignored.
+texts and items match nothing; equal items are matched each; every row is a document of its own, also
+where ids repeat or are null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, computed, constant_longs
+from .common import checkpoint, computed
 
 WIDTH = 5
 #: Words: runs of letters and digits of any script.
@@ -67,6 +65,28 @@ def sketch_items(items: DataFrame, item_id: str, item_text: str, threshold: floa
     return df.withColumn("probes", F.slice(F.sort_array("keys"), F.lit(1), depth)).select("item", "width", "grams", "n", "need", "probes")
 
 
+def found_in(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, threshold: float, max_probes: int, max_bytes: int, max_item_probes: int
+) -> DataFrame:
+    """``(id, t, item, n_shingles, n_found)``; ``t`` is the hash of the row's text."""
+    # items are numbered, as their ids may repeat or be null
+    sketched = checkpoint(sketch_items(items, item_id, item_text, threshold).withColumn("no", F.monotonically_increasing_id())).withColumn("short", F.size("probes") <= max_item_probes)
+    size = {
+        r.short: r
+        for r in sketched.groupBy("short")
+        .agg(F.sum(F.size("probes")).alias("probes"), F.sum(F.length(F.array_join("grams", " "))).alias("bytes"), F.array_sort(F.collect_set("width")).alias("widths"))
+        .collect()
+    }
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    small = True not in size or (size[True].probes <= max_probes and size[True].bytes <= max_bytes)
+    short, long = (sketched.filter("short"), sketched.filter("not short")) if small else (sketched.limit(0), sketched)
+    pairs = in_rows(rows, short, list(size[True].widths) if small and True in size else [])
+    if not small or False in size:
+        pairs = pairs.unionByName(by_join(rows, long, sorted({w for r in size.values() for w in r.widths})))
+    return pairs
+
+
 def find(
     docs: DataFrame,
     items: DataFrame,
@@ -78,67 +98,71 @@ def find(
     threshold: float = 0.8,
     max_probes: int = 50_000,
     max_bytes: int = 16 << 20,
+    max_item_probes: int = 256,
 ) -> DataFrame:
-    """``(id, item, n_shingles, n_found, containment)`` for every document and item that it contains.
+    """``(id, item, n_shingles, n_found, containment)`` for every row and item that it contains.
 
     ``max_probes`` sketch hashes and ``max_bytes`` of shingles are the checked size up to which the
     benchmark is a literal and a broadcast.
     """
-    sketched = checkpoint(sketch_items(items, item_id, item_text, threshold))
-    size = sketched.agg(
-        F.coalesce(F.sum(F.size("probes")), F.lit(0)).alias("probes"),
-        F.coalesce(F.sum(F.length(F.array_join("grams", " "))), F.lit(0)).alias("bytes"),
-        F.array_sort(F.collect_set("width")).alias("widths"),
-    ).first()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if size.probes <= max_probes and size.bytes <= max_bytes:
-        pairs = in_rows(rows, sketched, list(size.widths))
-    else:
-        pairs = by_join(rows, sketched, list(size.widths))
+    pairs = found_in(docs, items, id_col, text_col, item_id, item_text, threshold, max_probes, max_bytes, max_item_probes)
     return pairs.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
+def remove(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    threshold: float = 0.8,
+    max_probes: int = 50_000,
+    max_bytes: int = 16 << 20,
+    max_item_probes: int = 256,
+) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns."""
+    pairs = found_in(docs, items, id_col, text_col, item_id, item_text, threshold, max_probes, max_bytes, max_item_probes)
+    gone = checkpoint(pairs.select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct())
+    same = (F.xxhash64(docs[text_col].cast("string")) == F.col("__t")) & docs[id_col].eqNullSafe(F.col("__id"))
+    return docs.join(gone, same, "left_anti")
+
+
 def verified(df: DataFrame) -> DataFrame:
     """Exact containment of ``grams`` in the row's words ``w``, for rows of one pair each."""
     own = None
     for width in range(1, WIDTH + 1):
         own = F.when(F.col("width") == width, shingles("w", width)) if own is None else own.when(F.col("width") == width, shingles("w", width))
     df = computed(df, "n_found", F.size(F.array_intersect("grams", own)))
-    return df.filter(F.col("n_found") >= F.col("need")).select("id", "item", F.col("n").cast("bigint").alias("n_shingles"), F.col("n_found").cast("bigint"))
+    return df.filter(F.col("n_found") >= F.col("need")).select("id", "t", "item", F.col("n").cast("bigint").alias("n_shingles"), F.col("n_found").cast("bigint"))
 
 
 def in_rows(rows: DataFrame, sketched: DataFrame, widths: list[int]) -> DataFrame:
-    """Probes as a literal; a pair is verified at the first probe that its document holds."""
-    df, parts = computed(rows, "w", words_of(F.col("text"))).drop("text"), []
+    """Probes as a literal; a pair is verified at the first probe that its document holds.
+
+    ``(probe, item)`` and the items are broadcast on their own, each of the size that was checked.
+    """
+    df, parts = computed(rows, "w", words_of(F.col("text"))).drop("text"), [F.expr("cast(array() as array<bigint>)")]
     for width in widths:
         probes = [r.p for r in sketched.filter(F.col("width") == width).select(F.explode("probes").alias("p")).distinct().collect()]
-        parts.append(F.array_intersect(hashes("w", width), constant_longs(probes)))
-    df = computed(df, "hits", F.concat(*parts) if parts else F.expr("cast(array() as array<bigint>)")).filter(F.size("hits") > 0)
-    table = sketched.select("item", "width", "grams", "n", "need", "probes", F.explode("probes").alias("probe"))
-    df = df.withColumn("probe", F.explode("hits")).join(F.broadcast(table), "probe")
-    df = df.filter(F.get(F.array_intersect("probes", "hits"), F.lit(0)) == F.col("probe"))
-    return verified(df)
+        df = df.withColumn(f"keys_{width}", hashes("w", width))
+        parts.append(F.expr(f"filter(keys_{width}, h -> h in ({', '.join(f'{p}L' for p in probes)}))" if probes else "cast(array() as array<bigint>)"))
+    df = computed(df, "hits", F.array_distinct(F.concat(*parts))).filter(F.size("hits") > 0).select("id", "t", "w", "hits", F.explode("hits").alias("probe"))
+    df = df.join(F.broadcast(sketched.select("no", F.explode("probes").alias("probe"))), "probe")
+    df = df.join(F.broadcast(sketched.select("no", "item", "width", "grams", "n", "need", "probes")), "no")
+    return verified(df.filter(F.get(F.array_intersect("probes", "hits"), F.lit(0)) == F.col("probe")))
 
 
 def by_join(rows: DataFrame, sketched: DataFrame, widths: list[int]) -> DataFrame:
-    """For a benchmark beyond a literal's size: join shingle hashes, then verify the candidates' texts.
+    """For items beyond a literal's size: join shingle hashes, then verify the candidates' texts.
 
     Hashes above their width's largest probe are dropped before the shuffle.
     """
-    table = sketched.select("item", F.explode("probes").alias("probe"))
+    table = sketched.select("no", F.explode("probes").alias("probe"))
     top = {r.width: r.top for r in sketched.select("width", F.element_at("probes", -1).alias("p")).groupBy("width").agg(F.max("p").alias("top")).collect()}
     words = computed(rows, "w", words_of(F.col("text"))).drop("text")
-    keys = F.concat(*(F.filter(F.array_distinct(hashes("w", width)), lambda h, t=top[width]: h <= F.lit(t)) for width in widths))
-    pairs = words.select("id", F.explode(keys).alias("probe")).join(table, "probe").select("id", "item").distinct()
-    texts = words.dropDuplicates(["id"])
-    return verified(pairs.join(texts, "id").join(sketched.drop("probes"), "item"))
-
-
-def contaminated(pairs: DataFrame, id_col: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """One row per contaminated document, with the sorted items that it contains."""
-    return pairs.groupBy(id_col).agg(F.sort_array(F.collect_set(item_id)).alias("items"), F.max("containment").alias("containment"))
-
-
-def sketch_depth(n: int, threshold: float) -> int:
-    """Shingles that must be probed so that one is found in any document that reaches the threshold."""
-    return n - ceil(n * threshold - 1e-9) + 1
+    below = [F.filter(F.array_distinct(hashes("w", width)), lambda h, t=top[width]: h <= F.lit(t)) for width in widths if width in top]
+    keys = F.concat(F.expr("cast(array() as array<bigint>)"), *below)
+    pairs = words.select("id", "t", F.explode(keys).alias("probe")).join(table, "probe").select(F.col("id").alias("id2"), F.col("t").alias("t2"), "no").distinct()
+    return verified(words.join(pairs, (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("id2"))).join(sketched.drop("probes", "short"), "no"))

@@ -8,6 +8,9 @@ No window ever holds a source: ranks are taken in small groups (a source's hash
 of fractional ranks) and shifted by prefix counts.  Only narrow rows (id, size, checksum, hash)
 are shuffled, never texts.  Integer arithmetic keeps the cuts exact at any size.
 
+Equal texts are rows like others: each has its own slot, and where a text goes depends on its row's
+id alone.  Shards hold the mixture, whatever the texts.
+
 Defined results: a null source is a source of its own; a null text has size 8 and checksum 0;
 repeated rows each get a slot; ties in the hash go by id, size and checksum, so only rows that agree
 in all of them can swap; an empty table gives an empty result; other columns are ignored.
@@ -78,7 +81,7 @@ def shard(
 
     # place in the order by fractional rank, group by group in the same way; a group's first place
     # follows from the sources' counts alone: ranks r of a source with (2r - 1) * groups < 2n * g
-    ranked = checkpoint(ranked.select("id", "source", "size", "crc", "h", "r", "n", F.expr(f"((2 * r - 1) * {n_groups}) div (2 * n)").alias("f")))
+    ranked = checkpoint(ranked.select("id", "source", "size", "crc", "h", "r", "n", F.expr(f"cast((cast(2 * r - 1 as decimal(20, 0)) * {n_groups}) div (2 * n) as bigint)").alias("f")))
     stretch = ranked.groupBy("f").agg(F.count("*").alias("m"))
     coarse = stretch.withColumn("c", F.expr("f div 256"))
     tops = coarse.groupBy("c").agg(F.sum("m").alias("cm"))
