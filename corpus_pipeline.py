@@ -1,38 +1,40 @@
-"""Training-data pipeline over ``documents``: each stage's rows are written and read again as the next one's input."""
+"""Training-data pipeline over ``documents``: each stage's rows are written and read again as the next one's input.
+
+Every row is a document of its own, told apart by id and text: rows of one id with other texts get
+verdicts of their own, rows with a null id are judged like others, and rows that agree in both share
+their verdict and stay repeated.  Null and empty texts have no perplexity and go in the first stage.
+Other columns stay until the last stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ranklake.llm import bpe, decontamination, near_dedup, quality_classifier, suffix_dedup
-from ranklake.llm.common import table
+from ranklake.llm.common import checkpoint, delete_folder, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    verdicts = quality_classifier.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi").select(docs.columns)
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 80 % of five-word shingles, as ``decontamination`` takes them (four words are op6's own)."""
-    kept = near_dedup.near_duplicates(docs, width=5).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies stays: 80 % of five-word shingles (four words are op6's own)."""
+    return near_dedup.keep_one(docs, width=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay where they occur first and are cut elsewhere."""
-    return suffix_dedup.dedup(docs, keep_rows=True)
+    return suffix_dedup.dedup(docs, length_col="n_chars")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return decontamination.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +52,18 @@ STAGES = [
     ("byte_level_bpe", tokens),
 ]
 
-#: No stage but the fourth can be written in SQL.
+#: No stage but the fourth can be written in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+        done = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            done.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    done = checkpoint(done)
+    delete_folder(spark, folder)
+    return done
