@@ -41,7 +41,7 @@ SKETCH_BITS = 512
 class Shingler:
     """Distinct word shingles of a text as sorted 64-bit hashes; word hashes are kept, up to a bound."""
 
-    def __init__(self, width: int, max_words: int = 500_000):
+    def __init__(self, width: int, max_words: int = 200_000):
         self.width, self.max_words, self.known = width, max_words, {}
         self.weights = np.random.default_rng(97).integers(1, 1 << 63, width + 1, dtype=np.uint64) | np.uint64(1)
 
