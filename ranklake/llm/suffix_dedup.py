@@ -8,7 +8,7 @@ first ``length - window + 1`` words of their suffixes.
 
 1. One pass gives the suffixes' digests of that many words; those found once are dropped.
 2. What is left gets its words: those before the anchor that its stretches need, and the next ``length``.
-   These are sorted by their words, over range partitions, which split a passage that many texts hold.
+   These are sorted, over ranges of digests, by their words; a passage that many texts hold spans several ranges.
 3. In the sorted order each suffix is compared with its neighbour, word by word.  Where the common
    words end decides how far matches reach to the right; suffixes with enough common words are then
    matched to the left.  Matches of ``length`` words or more come out as runs of the text, marked where
@@ -56,7 +56,7 @@ def sortable_words(text: str | None) -> list[bytes]:
     return [w.translate(SHIFTED) for w in words] if CONTROLS.search((text or "").encode()) else words
 
 
-def word_hashes(words: list[bytes], known: dict, max_words: int = 500_000) -> np.ndarray:
+def word_hashes(words: list[bytes], known: dict, max_words: int = 200_000) -> np.ndarray:
     if len(known) > max_words:
         known.clear()
     for word in set(words).difference(known):
@@ -105,7 +105,7 @@ def anchors(ids: np.ndarray, length: int, window: int, gram: int) -> tuple[np.nd
     return at[first], at[first] - first, at[first] - last
 
 
-def suffix_digests(texts: DataFrame, length: int, window: int, gram: int, max_seen: int = 500_000) -> DataFrame:
+def suffix_digests(texts: DataFrame, length: int, window: int, gram: int, max_seen: int = 200_000) -> DataFrame:
     """``(d, u, at, far, near, n_words)`` of ``texts(u, text)``; a text without suffixes has one row, with its word count only.
 
     ``n_words`` is on a text's first row.  A task gives the rows of equal texts once, as far as it remembers them.
@@ -148,7 +148,7 @@ def suffix_digests(texts: DataFrame, length: int, window: int, gram: int, max_se
 
 
 def with_words(seeds: DataFrame, length: int, window: int) -> DataFrame:
-    """``(right, before, u, o, at, far, near)`` of ``seeds(u, o, text, places)``: a suffix's next words and those before it, nearest first."""
+    """``(d, right, before, u, o, at, far, near)`` of ``seeds(u, o, text, places)``: a suffix's next words and those before it, nearest first."""
 
     def run(batches):
         for batch in batches:
@@ -159,11 +159,11 @@ def with_words(seeds: DataFrame, length: int, window: int) -> DataFrame:
                     at = [p["at"] for p in part]
                     right = [END.join(words[a : a + length]) for a in at]
                     before = [END.join(words[a - p["far"] : a][::-1]) for a, p in zip(at, part, strict=True)]
-                    columns = [pa.array(right, pa.binary()), pa.array(before, pa.binary()), pa.array([u] * len(at), pa.int64()), pa.array([o] * len(at), pa.int64())]
+                    columns = [pa.array([p["d"] for p in part], pa.int64()), pa.array(right, pa.binary()), pa.array(before, pa.binary()), pa.array([u] * len(at), pa.int64()), pa.array([o] * len(at), pa.int64())]
                     columns += [pa.array(at, pa.int32()), *(pa.array([p[c] for p in part], pa.int16()) for c in ("far", "near"))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["right", "before", "u", "o", "at", "far", "near"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["d", "right", "before", "u", "o", "at", "far", "near"])
 
-    return seeds.mapInArrow(run, "right binary, before binary, u bigint, o bigint, at int, far smallint, near smallint")
+    return seeds.mapInArrow(run, "d bigint, right binary, before binary, u bigint, o bigint, at int, far smallint, near smallint")
 
 
 def common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -178,10 +178,10 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
 class Suffix:
     """A sorted suffix: who it is, its words, and the common words with the suffix before it."""
 
-    __slots__ = ("at", "before", "common", "far", "near", "o", "right", "u")
+    __slots__ = ("at", "before", "common", "d", "far", "near", "o", "right", "u")
 
-    def __init__(self, right, before, u, o, at, far, near):
-        self.right, self.before = right.split(END), before.split(END) if before else []
+    def __init__(self, d, right, before, u, o, at, far, near):
+        self.d, self.before = d, right.split(END), before.split(END) if before else []
         self.u, self.o, self.at, self.far, self.near, self.common = u, o, at, far, near, 0
 
     @property
@@ -242,7 +242,7 @@ def neighbour_runs(ordered: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         interval: list[Suffix] = []
-        first = True
+        edge = None  # the first digest of the partition, whose suffixes may go on in others
 
         def flush():
             nonlocal out
@@ -256,11 +256,13 @@ def neighbour_runs(ordered: DataFrame, length: int, window: int) -> DataFrame:
                     continue
                 if interval:
                     s.common = common_words(interval[-1].right, s.right)
-                    if s.common < seed:
-                        out.extend(matched(interval, length, border=first))
-                        interval, first = [], False
+                    if s.common < seed or s.d != interval[-1].d:
+                        out.extend(matched(interval, length, border=interval[0].d == edge))
+                        interval = []
                         if len(out) >= 20_000:
                             yield flush()
+                elif edge is None:
+                    edge = s.d
                 interval.append(s)
         if interval:
             out.extend(matched(interval, length, border=True))
@@ -285,8 +287,9 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, le
     whole = suffixes.filter("at >= 0").select("d", "u", "at", "far", "near")
     # in several texts, or at several places of one
     found = whole.groupBy("d").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("u", "at")))
-    twice = found.filter("min_u != max_u or min_at != max_at").select("d")
-    places = whole.join(twice, "d", "left_semi").groupBy("u").agg(F.sort_array(F.collect_set(F.struct("at", "far", "near"))).alias("places"))
+    # written, so that the join below is a plain one, whose hot digests Spark can split
+    twice = scratch.keep(found.filter("min_u != max_u or min_at != max_at").select("d"))
+    places = whole.join(twice, "d", "left_semi").groupBy("u").agg(F.sort_array(F.collect_set(F.struct("at", "far", "near", "d"))).alias("places"))
     order = F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("o")
     places = scratch.keep(places.join(units.select("u", order), "u"))
     # one row of each text
@@ -294,8 +297,8 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, le
     same = (F.col("u") == F.col("u2")) & (F.col("o") == F.coalesce("id2", F.lit((1 << 63) - 1)))
     seeds = scratch.keep(with_words(places.join(texts, same).select("u", "o", "text", "places"), length, window))
     tasks = max(1, -(-seeds.count() // SUFFIXES_PER_TASK))
-    keys = ["right", "before", "o", "u", "at"]
-    ordered = seeds.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    # ranges are cut by two longs, of which Spark samples a bounded number; a hot digest is cut by its places
+    ordered = seeds.repartitionByRange(tasks, "d", F.xxhash64("u", "at")).sortWithinPartitions("d", "right", "before", "o", "u", "at")
     found = scratch.keep(neighbour_runs(ordered, length, window))
     waiting = found.filter("kind = 'open'")
     place = F.struct("o", "u", "start")
