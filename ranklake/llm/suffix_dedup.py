@@ -181,7 +181,7 @@ class Suffix:
     __slots__ = ("at", "before", "common", "d", "far", "near", "o", "right", "u")
 
     def __init__(self, d, right, before, u, o, at, far, near):
-        self.d, self.before = d, right.split(END), before.split(END) if before else []
+        self.d, self.right, self.before = d, right.split(END), before.split(END) if before else []
         self.u, self.o, self.at, self.far, self.near, self.common = u, o, at, far, near, 0
 
     @property
