@@ -41,7 +41,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes; ``ranks`` must hold all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 120_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
@@ -159,7 +159,7 @@ class Transducer:
 class Tokenizer:
     """Splits text by ``pattern`` and encodes each match; keeps the ids of up to ``max_pieces`` short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
         self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces: dict[str, bytes] = {}
