@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -67,3 +67,8 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
         return F.flatten(F.transform(padded, grams))
 
     return F.concat(*(of(n) for n in range(low, high + 1)))
+
+
+def with_tokens(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``tokens`` of a text column; the value passes through a one-element ``explode``, so that no later filter or lambda plans it again."""
+    return df.withColumn("tokens", F.explode(F.array(tokenize(F.col(column)))))

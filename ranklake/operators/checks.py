@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,43 @@ def funnel(events: DataFrame, shown: str, clicked: str, bought: str) -> DataFram
         return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
 
     return events.agg(n(shown).alias("n_shown"), n(clicked).alias("n_clicked"), n(bought).alias("n_bought"), ratio(n(clicked), n(shown)).alias("ctr"), ratio(n(bought), n(clicked)).alias("conversion"))
+
+
+def row_count(name: str, df: DataFrame, low: int, high: int | None = None) -> DataFrame:
+    """One bad row if there are fewer rows than ``low`` or more than ``high``."""
+    wrong = (F.col("m") < low) | (F.lit(False) if high is None else F.col("m") > high)
+    return check(name, df.agg(F.count("*").alias("m")).filter(wrong))
+
+
+def bounded_where(name: str, df: DataFrame, column: str, where: Column, low: float) -> DataFrame:
+    """Values under ``low`` or no number, where the column applies; blanks are skipped."""
+    text, value = F.trim(F.col(column).cast("string")), F.col(column).try_cast("double")
+    return check(name, df.filter(where & (F.coalesce(text, F.lit("")) != "") & (value.isNull() | F.isnan(value) | (value < low))))
+
+
+def event_chains(events: DataFrame, order: dict[str, int], needs: dict[str, str], key: tuple[str, ...]) -> DataFrame:
+    """Events that lack what they need before them: ``needs`` maps a type to the type that must come earlier in its ``key``.
+
+    Ties in time go by ``order``, then by id.
+    """
+    ordinal = F.coalesce(*(F.when(F.col("event_type") == t, n) for t, n in order.items()), F.lit(99))
+    before = Window.partitionBy(*key).orderBy("ts", ordinal, "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    df = events
+    for i, first in enumerate(sorted(set(needs.values()))):
+        df = df.withColumn(f"__seen_{i}", F.coalesce(F.max((F.col("event_type") == first).cast("int")).over(before), F.lit(0)))
+    lacks = F.lit(False)
+    for kind, first in needs.items():
+        lacks = lacks | ((F.col("event_type") == kind) & (F.col(f"__seen_{sorted(set(needs.values())).index(first)}") == 0))
+    return df.filter(lacks).select(*events.columns)
+
+
+def click_rate(events: DataFrame, by: Column, shown: str = "view", clicked: str = "click") -> DataFrame:
+    """``(bucket, n_shown, n_clicked, ctr)``; rows whose bucket is null are left out."""
+    n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
+    rate = F.round(F.coalesce(F.try_divide(n(clicked).cast("double"), n(shown).cast("double")), F.lit(0.0)), 6)
+    return events.withColumn("bucket", by).filter("bucket is not null").groupBy("bucket").agg(n(shown).alias("n_shown"), n(clicked).alias("n_clicked"), rate.alias("ctr"))
+
+
+def levelled(results: DataFrame, warnings: list[str]) -> DataFrame:
+    """``report`` rows with a level: a failed check is an error, or a warning if it is among ``warnings``."""
+    return results.withColumn("level", F.when(F.col("passed"), "pass").when(F.col("name").isin(warnings), "warning").otherwise("error"))

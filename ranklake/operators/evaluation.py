@@ -49,8 +49,50 @@ def macro_average(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("k").agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg", "hit_rate")))
 
 
-def compare(ours: DataFrame, base: DataFrame, k: int = 10, metric: str = "ndcg", tolerance: float = 1e-9) -> DataFrame:
-    """One row: at how many queries ``ours`` is better, equal or worse."""
+def compare(ours: DataFrame, base: DataFrame, k: int = 10, metric: str = "ndcg", tolerance: float = 0.0) -> DataFrame:
+    """One row: at how many queries ``ours`` is better, equal or worse; better is strictly greater unless there is a tolerance."""
     both = ours.filter(F.col("k") == k).select("query_id", F.col(metric).alias("x")).join(base.filter(F.col("k") == k).select("query_id", F.col(metric).alias("y")), "query_id")
     d = F.col("x") - F.col("y")
     return both.agg(F.count(F.when(d > tolerance, 1)).alias("better"), F.count(F.when(F.abs(d) <= tolerance, 1)).alias("equal"), F.count(F.when(d < -tolerance, 1)).alias("worse"))
+
+
+def behaviour_metrics(requests: DataFrame, ranked: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """``evaluate`` keyed on requests: grades are those of the request's own events, recall is over all its positive items."""
+    asked, found, judged = (df.select(F.col("request_id").alias("query_id"), *columns) for df, columns in ((requests, []), (ranked, ["item_id", "rank"]), (grades, ["item_id", "grade"])))
+    return evaluate(asked, found, judged, ks=ks).withColumnRenamed("query_id", "request_id")
+
+
+def candidate_coverage(requests: DataFrame, candidates: DataFrame, grades: DataFrame) -> DataFrame:
+    """One row: requests and positive items that the candidates cover, in all and for warm users.
+
+    ``requests(request_id, status)`` are the eligible ones; a status of null counts as other.
+    """
+    positive = grades.filter("grade > 0").select("request_id", "item_id").distinct()
+    have = candidates.select("request_id", "item_id").distinct().withColumn("covered", F.lit(1))
+    per = positive.join(have, ["request_id", "item_id"], "left").groupBy("request_id").agg(F.count("*").alias("n"), F.count("covered").alias("hit"))
+    df = requests.join(per, "request_id", "left").fillna(0, ["n", "hit"])
+    warm = F.coalesce(F.col("status") == "warm", F.lit(False))
+
+    def share(a, b):
+        return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
+
+    hit = F.count(F.when(F.col("hit") > 0, 1))
+    warm_hit, warm_all = F.count(F.when(warm & (F.col("hit") > 0), 1)), F.count(F.when(warm, 1))
+    return df.agg(
+        F.count("*").alias("n_requests"),
+        hit.alias("n_covered"),
+        share(hit, F.count("*")).alias("request_coverage"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_positives"),
+        share(F.coalesce(F.sum("hit"), F.lit(0)), F.sum("n")).alias("item_coverage"),
+        warm_all.alias("n_warm"),
+        share(warm_hit, warm_all).alias("warm_coverage"),
+    )
+
+
+def query_coverage(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: how many queries there are, how many have no result, and the share that has one."""
+    have = results.select("query_id").distinct().withColumn("found", F.lit(1))
+    df = queries.select("query_id").join(have, "query_id", "left")
+    return df.agg(
+        F.count("*").alias("n_queries"), F.count(F.when(F.col("found").isNull(), 1)).alias("n_empty"), F.round(F.coalesce(F.avg(F.coalesce("found", F.lit(0)).cast("double")), F.lit(0.0)), 6).alias("coverage")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .retrieval import min_max
 
+#: What a behaviour is worth.
 GRADES = {"click": 1, "favorite": 2, "add_to_cart": 3, "purchase": 4}
 
 
@@ -49,7 +50,9 @@ def profiles(events: DataFrame, positive: DataFrame, items: DataFrame, users: Da
     Status: warm with a positive event, else cold_start if flagged, no_positive with events, no_history.
     """
     seen = events.groupBy("user_id").agg(F.count("*").alias("n_events"))
-    price = F.when(F.col("price") > 0, F.log("price"))
+    # a price that is missing or no number counts as 1; one that is not positive is left out
+    number = F.coalesce(F.nanvl(F.col("price").try_cast("double"), F.lit(1.0)), F.lit(1.0))
+    price = F.when(number > 0, F.log(number))
     liked = positive.join(items.select("item_id", "price"), "item_id").groupBy("user_id").agg(
         F.count("*").alias("n_positive"), (F.sum(price * F.col("eff")) / F.sum(F.when(price.isNotNull(), F.col("eff")))).alias("m")
     )
@@ -78,3 +81,36 @@ def rerank(cands: DataFrame, items: DataFrame, prefs: DataFrame, profile: DataFr
     df = df.withColumn("final_score", F.round(score, 9)).withColumn("original_rank", F.col("rank"))
     order = Window.partitionBy("request_id").orderBy(F.col("final_score").desc(), "original_rank", "item_id")
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("request_id", "user_id", "item_id", "original_rank", "rank", "final_score")
+
+
+def request_grades(events: DataFrame) -> DataFrame:
+    """``(request_id, item_id, grade)``: the largest grade of each item that a request's events touch."""
+    grade = F.coalesce(*(F.when(F.col("event_type") == t, g) for t, g in GRADES.items()))
+    return events.withColumn("grade", grade).filter("grade is not null").groupBy("request_id", "item_id").agg(F.max("grade").alias("grade"))
+
+
+def build_requests(events: DataFrame, profile: DataFrame) -> DataFrame:
+    """``(request_id, user_id, query_id, status)`` of requests with a positive event; the first event gives user and query.
+
+    A user without profile has the status ``no_history``.
+    """
+    positive = request_grades(events).select("request_id").distinct()
+    first = events.groupBy("request_id").agg(F.min_by(F.struct("user_id", "query_id"), F.struct("ts", "event_id")).alias("f")).select("request_id", "f.*")
+    return first.join(positive, "request_id", "left_semi").join(profile.select("user_id", "status"), "user_id", "left").select(
+        "request_id", "user_id", "query_id", F.coalesce("status", F.lit("no_history")).alias("status")
+    )
+
+
+def personalize(requests: DataFrame, results: DataFrame, items: DataFrame, prefs: DataFrame, profile: DataFrame, weights: dict[str, float], k: int = 20) -> DataFrame:
+    """Re-ranks each request's candidates, the ``results(query_id, item_id, rank, score)`` of its query; requests without any are left out."""
+    cands = requests.select("request_id", "user_id", "query_id").join(results, "query_id").select("request_id", "user_id", "item_id", "rank", "score")
+    return rerank(cands, items, prefs, profile, weights, k=k)
+
+
+def fallback_statistics(requests: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per status: requests, users, and the share of requests whose order is that of retrieval."""
+    same = ranked.groupBy("request_id").agg(F.min((F.col("rank") == F.col("original_rank")).cast("int")).alias("same"))
+    rows = requests.join(same, "request_id", "left")
+    return rows.groupBy("status").agg(
+        F.count("*").alias("n_requests"), F.count_distinct("user_id").alias("n_users"), F.round(F.coalesce(F.avg("same"), F.lit(1.0)), 6).alias("same_order")
+    )

@@ -14,12 +14,6 @@ def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", ite
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``(item_id, token, tf, doc_len)`` from ``(item_id, tokens)``."""
-    rows = docs.select("item_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    return rows.groupBy("item_id", "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query_id, item_id, score, rank)`` for ``docs(item_id, tokens)`` and ``queries(query_id, tokens)``.
 

@@ -7,11 +7,12 @@ searched corpus; a view, click or purchase of ``events`` refers to part ``value`
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokenize
+from ..functions.text import STOP_WORDS, with_tokens
 from ..operators import checks, evaluation, personalization, retrieval
 from ..sources.files import table
 
@@ -33,8 +34,8 @@ def query(sql: str):
 
 
 def corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), tokenize(F.col("text")).alias("tokens"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("tokens"))
+    docs = with_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "text").drop("text")
+    queries = with_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text").drop("text")
     return docs, queries
 
 
@@ -236,3 +237,153 @@ from (select count(case when event_type='view' then 1 end) a, count(case when ev
 )
 def event_funnel(spark, sf_dir):
     return checks.funnel(table(spark, sf_dir, "events"), "view", "click", "purchase")
+
+
+RESULTS = """rs as (select * from (select p_size query_id, p_partkey item_id, p_retailprice score, row_number() over (partition by p_size order by p_retailprice desc, p_partkey) rank from part) where rank <= 100)"""
+REQUESTS = f"""with {POSITIVE}, te as (select ev.*, ev.user_id::varchar || ':' || session_id request_id, p_size query_id from ev join sp using (user_id, session_id) join part on p_partkey = item_id where split = 'test'),
+gr as (select request_id, item_id, max(case event_type when 'click' then 1 else 4 end) grade from te where event_type in ('click','purchase') group by all),
+se as (select user_id, count(*) n_events from tr group by all),
+li as (select user_id, count(*) n_positive, round(sum(ln(p_retailprice)*eff)/sum(eff),6) m from po join part on p_partkey=item_id group by all),
+pr as (select user_id, m, case when coalesce(n_positive,0)>0 then 'warm' when coalesce(cold,false) then 'cold_start' when coalesce(n_events,0)>0 then 'no_positive' else 'no_history' end status
+ from (select c_custkey user_id, c_acctbal < 0 cold from customer) full join se using (user_id) left join li using (user_id)),
+fi as (select request_id, arg_min(user_id, (ts, event_id)) user_id, arg_min(query_id, (ts, event_id)) query_id from te group by all),
+rq as (select fi.request_id, fi.user_id, fi.query_id, coalesce(pr.status, 'no_history') status from fi left join pr using (user_id) where request_id in (select request_id from gr)),
+{RESULTS}"""
+RANKED = f"""{REQUESTS},
+af as (select user_id, dim, v, round(s / sum(s) over (partition by user_id, dim), 9) w from (select user_id, 'category' dim, p_type v, sum(eff) s from po join part on p_partkey = item_id group by all
+ union all select user_id, 'brand', p_brand, sum(eff) from po join part on p_partkey = item_id group by all)),
+ca as (select request_id, user_id, item_id, rank original_rank, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end norm
+ from rq join rs using (query_id) window w as (partition by request_id)),
+fs as (select ca.*, round(case when status = 'warm' then norm*0.7::double/1.0::double + coalesce(c.w,0)*0.15::double + coalesce(b.w,0)*0.09::double + coalesce(exp(-abs(ln(p_retailprice) - m)/0.5::double),0)*0.06::double else norm end, 9) final_score
+ from ca join part on p_partkey = item_id left join pr using (user_id) left join af c on c.user_id = ca.user_id and c.dim = 'category' and c.v = p_type left join af b on b.user_id = ca.user_id and b.dim = 'brand' and b.v = p_brand),
+rk as (select * from (select request_id, user_id, item_id, original_rank, row_number() over (partition by request_id order by final_score desc, original_rank, item_id) rank, final_score from fs) where rank <= 20)"""
+MIX = {"retrieval": 0.7, "category": 0.15, "brand": 0.09, "price": 0.06}
+
+
+def requests(spark, sf_dir):
+    """Test sessions stand for requests; each asks for the size of the first part that it touches, and the dearest 100 parts of a size are its candidates."""
+    events, part = behaviour(spark, sf_dir), table(spark, sf_dir, "part")
+    train, positive = training(spark, sf_dir)
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("is_cold_start"))
+    profile = personalization.profiles(train, positive, parts(spark, sf_dir), users)
+    test = events.join(personalization.sessions_split(events).filter("split = 'test'").select("user_id", "session_id"), ["user_id", "session_id"])
+    test = test.withColumn("request_id", F.concat_ws(":", F.col("user_id").cast("string"), "session_id"))
+    test = test.join(part.select(F.col("p_partkey").alias("item_id"), F.col("p_size").alias("query_id")), "item_id")
+    results = retrieval.top_k(part.select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("item_id"), F.col("p_retailprice").alias("score")), 100)
+    return personalization.build_requests(test, profile), personalization.request_grades(test), results, profile, positive
+
+
+def ranked_requests(spark, sf_dir):
+    asked, grades, results, profile, positive = requests(spark, sf_dir)
+    prefs = personalization.affinities(positive, parts(spark, sf_dir), ("category", "brand"))
+    return asked, grades, results, personalization.personalize(asked, results, parts(spark, sf_dir), prefs, profile, MIX)
+
+
+@query(f"{REQUESTS} select * from rq")
+def test_requests(spark, sf_dir):
+    return requests(spark, sf_dir)[0]
+
+
+@query(f"{RANKED} select request_id, user_id, item_id, original_rank, rank, round(final_score, 6) final_score from rk")
+def personalized_search(spark, sf_dir):
+    return ranked_requests(spark, sf_dir)[3].withColumn("final_score", F.round("final_score", 6))
+
+
+@query(
+    f"""{REQUESTS}, ps as (select rq.request_id, status, gr.item_id, case when rs.item_id is not null then 1 else 0 end hit from rq join gr using (request_id) left join rs on rs.query_id = rq.query_id and rs.item_id = gr.item_id),
+pq as (select request_id, any_value(status) status, count(*) n, sum(hit) hit from ps group by all)
+select count(*) n_requests, count(case when hit>0 then 1 end) n_covered, round(count(case when hit>0 then 1 end)/count(*)::double,6) request_coverage, sum(n)::bigint n_positives, round(sum(hit)/sum(n)::double,6) item_coverage,
+ count(case when status='warm' then 1 end) n_warm, round(case when count(case when status='warm' then 1 end)=0 then 0 else count(case when status='warm' and hit>0 then 1 end)/count(case when status='warm' then 1 end)::double end,6) warm_coverage from pq"""
+)
+def candidate_coverage(spark, sf_dir):
+    asked, grades, results, _, _ = requests(spark, sf_dir)
+    return evaluation.candidate_coverage(asked, asked.join(results, "query_id").select("request_id", "item_id"), grades)
+
+
+@query(
+    f"""{RANKED}, s as (select request_id, min(case when rank = original_rank then 1 else 0 end) same from rk group by all)
+select status, count(*) n_requests, count(distinct user_id) n_users, round(coalesce(avg(same),1),6) same_order from rq left join s using (request_id) group by all"""
+)
+def fallback_statistics(spark, sf_dir):
+    asked, _, _, ranked = ranked_requests(spark, sf_dir)
+    return personalization.fallback_statistics(asked, ranked)
+
+
+@query(
+    f"""{RANKED}, ks as (select unnest([5,10,20]) k),
+j as (select rk.request_id, rank, coalesce(grade,0) grade from rk left join gr using (request_id, item_id)),
+f as (select request_id, k, count(case when grade>=1 then 1 end) hits, min(case when grade>=1 then rank end) first, sum((pow(2,grade)-1)/log2(rank+1)) dcg from j, ks where rank<=k group by all),
+i as (select request_id, k, sum((pow(2,grade)-1)/log2(rn+1)) idcg from (select *, row_number() over (partition by request_id order by grade desc, item_id) rn from gr), ks where rn<=k group by all),
+n as (select request_id, count(*) rel from gr group by all),
+e as (select k, coalesce(hits,0)/k::double p, coalesce(hits,0)/rel::double rc, coalesce(1/first::double,0) mrr, coalesce(dcg,0)/idcg nd, case when coalesce(hits,0)>0 then 1.0::double else 0 end hr
+ from rq cross join ks left join f using (request_id,k) left join i using (request_id,k) left join n using (request_id))
+select k, count(*) n_queries, round(avg(p),6) "precision", round(avg(rc),6) recall, round(avg(mrr),6) mrr, round(avg(nd),6) ndcg, round(avg(hr),6) hit_rate from e group by k"""
+)
+def behaviour_metrics(spark, sf_dir):
+    asked, grades, _, ranked = ranked_requests(spark, sf_dir)
+    return evaluation.macro_average(evaluation.behaviour_metrics(asked, ranked, grades))
+
+
+@query(f"with {BM25}{bm25_sql('a', 0.75)}, h as (select distinct query_id, 1 found from a) select count(*) n_queries, count(case when found is null then 1 end) n_empty, round(avg(coalesce(found,0)::double),6) coverage from qs left join h using (query_id)")
+def query_coverage(spark, sf_dir):
+    return evaluation.query_coverage(corpus(spark, sf_dir)[1], keyword(spark, sf_dir))
+
+
+CHAIN = f"""with {EVENTS}, ch as (select *, max(case when event_type='view' then 1 else 0 end) over w v, max(case when event_type='click' then 1 else 0 end) over w c
+ from ev window w as (partition by user_id, session_id order by ts, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 4 else 99 end, event_id rows between unbounded preceding and 1 preceding))"""
+
+
+@query(f"{CHAIN} select event_id, event_type, user_id, session_id from ch where (event_type='click' and coalesce(v,0)=0) or (event_type='purchase' and coalesce(c,0)=0)")
+def event_dependency_violations(spark, sf_dir):
+    found = checks.event_chains(behaviour(spark, sf_dir), {"view": 0, "click": 1, "purchase": 4}, {"click": "view", "purchase": "click"}, ("user_id", "session_id"))
+    return found.select("event_id", "event_type", "user_id", "session_id")
+
+
+@query(
+    f"""with {EVENTS}, p as (select *, row_number() over (partition by user_id, session_id order by ts, event_id) position from ev)
+select case when position <= 5 then 'top' when position between 15 and 20 then 'bottom' end bucket, count(case when event_type='view' then 1 end) n_shown, count(case when event_type='click' then 1 end) n_clicked,
+ round(case when count(case when event_type='view' then 1 end)=0 then 0 else count(case when event_type='click' then 1 end)/count(case when event_type='view' then 1 end)::double end,6) ctr from p where position <= 5 or position between 15 and 20 group by 1"""
+)
+def ctr_by_position(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("ts", "event_id"))
+    events = behaviour(spark, sf_dir).withColumn("position", place)
+    return checks.click_rate(events, F.when(F.col("position") <= 5, "top").when(F.col("position").between(15, 20), "bottom"))
+
+
+@query("select event_type, count(*) n, count(distinct user_id) n_users from events group by all")
+def event_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels")
+
+
+@query(" union all ".join(f"select '{t}' name, count(*) n_rows from {t}" for t in TABLES))
+def table_statistics(spark, sf_dir):
+    return reduce(DataFrame.unionByName, (table(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("name"), "n_rows") for t in TABLES))
+
+
+@query(
+    f"""with {EVENTS}, r as (
+select 'events.rows' name, case when count(*) between 1 and 1000000000 then 0 else 1 end n_bad from events
+union all select 'customer.orders', count(*) from customer where c_custkey not in (select o_custkey from orders)
+union all select 'part.sold', count(*) from part where p_partkey not in (select l_partkey from lineitem)
+union all select 'session.clicks', count(*) from (select user_id, session_id from ev where event_type='click' group by all having count(*)>3)
+union all select 'purchase.value', count(*) from events where event_type='purchase' and value < 1
+union all select 'events.time', count(*) from events where ts is null
+union all select 'benchmark.judged', count(*) from benchmark where item_id not in (select doc_id from labels))
+select name, n_bad, n_bad=0 passed, case when n_bad=0 then 'pass' when name in ('customer.orders','part.sold','benchmark.judged') then 'warning' else 'error' end level from r"""
+)
+def validation_report(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("events", "customer", "orders", "part", "lineitem", "benchmark", "labels")}
+    clicks = behaviour(spark, sf_dir).filter("event_type = 'click'").groupBy("user_id", "session_id").agg(F.count("*").alias("m")).filter("m > 3")
+    rows = [
+        checks.row_count("events.rows", t["events"], 1, 1_000_000_000),
+        checks.references("customer.orders", t["customer"], "c_custkey", t["orders"], "o_custkey"),
+        checks.references("part.sold", t["part"], "p_partkey", t["lineitem"], "l_partkey"),
+        checks.check("session.clicks", clicks),
+        checks.bounded_where("purchase.value", t["events"], "value", F.col("event_type") == "purchase", 1.0),
+        checks.utc("events.time", t["events"].select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("ts")), "ts"),
+        checks.references("benchmark.judged", t["benchmark"], "item_id", t["labels"], "doc_id"),
+    ]
+    return checks.levelled(checks.report(rows), ["customer.orders", "part.sold", "benchmark.judged"])

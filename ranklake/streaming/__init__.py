@@ -1 +1 @@
-"""Streaming of the search-ranking engine."""
+"""Structured Streaming forms of the behaviour statistics."""
