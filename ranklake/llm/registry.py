@@ -76,4 +76,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words and lines as the contracts see them, in the SQL's regular expressions.
+SQL_WORD = r"[^\x20\x09-\x0D]+"
+SQL_SYMBOLS = r"[#*$%&|<>]"
+
+
+def sql_count(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+def sql_line_fails(line: str) -> str:
+    words, menu, marks, shouts = (sql_count(line, p) for p in (SQL_WORD, quality_rules.NAVIGATION, SQL_SYMBOLS, "!!"))
+    phrase = f"(regexp_matches(lower({line}), '{'|'.join(quality_rules.BOILERPLATE)}') and {words} <= 30)"
+    return f"(({menu} >= 2 and {menu} * 3 >= {words}) or ({marks} >= 3 and {marks} * 2 >= {words}) or ({shouts} >= 2 and {shouts} * 2 >= {words}) or {phrase})"
+
+
+SQL_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+OP2_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+')"
+
+ORACLE: dict[str, str] = {
+    "op2_decontamination": f"""with i as (select item_id, {OP2_WORDS} w from benchmark), d as (select doc_id, {OP2_WORDS} w from documents),
+ik as (select *, least(len(w), 5) k from i where len(w) > 0),
+ig as (select distinct item_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda j: array_to_string(w[j + 1 : j + k], ' '))) g from ik),
+n as (select item_id, count(*) n from ig group by all),
+dg as (select distinct doc_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda j: array_to_string(w[j + 1 : j + k], ' '))) g from d, (select distinct k from ik) where len(w) >= k)
+select doc_id, item_id, any_value(n)::bigint n_shingles, count(*) n_found from dg join ig using (k, g) join n using (item_id) group by doc_id, item_id having count(*) * 10 >= any_value(n) * 8""",
+    "op8_url_filter": rf"""with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+r(h, p, v) as (values {SQL_RULES}),
+m as (select page_id, arg_max(h || p, length(h || p)) rule, arg_max(v, length(h || p)) v from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
+select page_id, host, path, rule, coalesce(v, 'allow') verdict from u left join m using (page_id)""",
+    "op9_quality_rules": rf"""with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SQL_WORD}')) full_lines from documents),
+b as (select *, list_filter(full_lines, lambda x: {sql_line_fails('x')}) bad from d),
+g as (select doc_id, unnest(range(1, len(w) - 1)) i, w from d where len(w) >= 3),
+h as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) c from g),
+e as (select doc_id, count(distinct i + j) n from h, (select unnest([0, 1, 2]) j) where c > 1 group by all),
+s as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, {sql_count('t', SQL_SYMBOLS)}::bigint n_symbols, (len(full_lines) - len(list_distinct(full_lines)))::bigint n_dup_lines,
+ coalesce(n, 0)::bigint n_repeat_words, len(bad)::bigint n_bad_lines, length(array_to_string(regexp_extract_all(array_to_string(bad, chr(10)), '{SQL_WORD}'), ''))::bigint bad_chars from b left join e using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not 100 * bad_chars > 50 * word_chars kept, n_bad_lines, bad_chars from s""",
+}
