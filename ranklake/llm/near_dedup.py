@@ -259,7 +259,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     merged = components(edges, scratch)
 
     nodes = sets.select("digest", "sid").join(root, "sid", "left").select("digest", F.coalesce("root", "sid").alias("id"))
-    nodes = nodes.join(merged, "id", "left").select("digest", F.coalesce("component", "id").alias("comp"))
+    # rows that repeat in id and text may have given a set twice; equal sets are linked
+    nodes = nodes.join(merged, "id", "left").groupBy("digest").agg(F.min(F.coalesce("component", "id")).alias("comp"))
     ids = made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
     firsts = ids.join(nodes, "digest")
     names = firsts.groupBy("comp").agg(F.min("first").alias("name"))
