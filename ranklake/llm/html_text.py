@@ -48,8 +48,9 @@ NEGATIONS = {"has", "is", "no", "not", "with", "without"}
 #: What an opening tag closes, up to the container that stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# quotes count straight after an equals sign only
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
@@ -84,10 +85,12 @@ def described(attributes: str) -> tuple[str, int]:
     """Class names, and how class, id or role mark what is not content."""
     label, mark = "", 0
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if name.lower() == "class":
+        name, value = name.lower(), next((v for v in values if v), "").lower()
+        if name not in ("class", "id", "role"):
+            continue
+        if name == "class":
             label = value
-        if name.lower() == "role":
+        if name == "role":
             mark = max(mark, (WEAK if value == "form" else STRONG) if value in BAD_ROLES else 0)
         else:
             mark = max([mark, *map(named, value.split())])

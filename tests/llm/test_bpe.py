@@ -1,10 +1,12 @@
 import base64
+import hashlib
 import random
+import struct
 
 import public_tokenizers as P
 import tiktoken
 
-from ranklake.llm.bpe import Tokenizer, read_ranks
+from ranklake.llm.bpe import Tokenizer, encode, read_ranks
 
 
 def test_matches_tiktoken_and_round_trips():
@@ -22,3 +24,17 @@ def test_matches_tiktoken_and_round_trips():
         assert ids.tolist() == theirs.encode_ordinary(text), text
         assert "".join(ours.decode(ids)) == "".join(ours.decode(ids, 1)) == text
     assert base64.b64encode(b"a") in data
+
+
+def test_query_rows(spark):
+    """Null, empty, repeated and long texts through Spark, with a column of the operator's own name."""
+    data = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(data), special_tokens={})
+    rows = [(1, None), (2, ""), (3, "Ünïcode text, 123"), (3, "Ünïcode text, 123"), (None, "x"), (4, "long words " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n_tokens", "2 as ids")
+    want = []
+    for key, text in rows:
+        ids = theirs.encode_ordinary(text or "")
+        want.append((key, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, encode(docs, data, P.PATTERN).collect()), key=str) == sorted(want, key=str)
+    assert encode(docs.limit(0), data, P.PATTERN).count() == 0

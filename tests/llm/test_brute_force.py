@@ -31,6 +31,10 @@ def test_sharding(docs, rows):
         slots[r.shard].append(r.slot)
     assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    mixture = Counter((r.shard, r.source) for r in got)
+    for source, n in Counter(r.source for r in got).items():
+        assert all(abs(mixture[shard, source] - n / 24) < 2 for shard in range(24)), source
+    assert sharding.shard(docs.limit(0)).count() == 0
 
 
 def test_quality_statistics(docs, rows):
@@ -47,6 +51,26 @@ def test_quality_statistics(docs, rows):
         assert not (r.base_failed and r.kept)
 
 
+def test_line_rules(spark):
+    """Rejected by lines: menus, symbols, shouting and boilerplate; words alone do not reject."""
+    prose = " ".join(f"word{i}" for i in range(60))
+    bad = ["Home | News | About", "#* <b> $ %", "Buy!! Now!! Cheap!!", "We use cookies to serve you"]
+    rows = [(1, prose), (2, "\n".join([prose, *bad])), (3, "\n".join([f"w{i}" for i in range(40)] + [f"{x} {i}" for i, x in enumerate(bad * 8)])), (4, None), (5, prose + "\n" + prose)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=True).collect()}
+    assert got[2].n_bad_lines == 4 and got[2].kept and got[2].clean_text == prose and got[1].kept and not got[1].n_bad_lines
+    assert got[3].n_bad_lines == 32 and not got[3].kept and got[3].clean_text == "\n".join(f"w{i}" for i in range(40))
+    assert not got[4].kept and got[5].n_dup_lines == 1 and got[5].base_failed
+
+
+def test_exact_path_of_windows(spark, monkeypatch):
+    """With few position bits every text takes the path that sorts the windows themselves."""
+    rows = [(i, r.text) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect())] + [(90, "a b c a b c a"), (91, "a b"), (92, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.n_repeat_words for r in quality_rules.judge(docs).collect()}
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 1)
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.judge(docs).collect()} == want and want[90] == 7
+
+
 def test_repeated_passages(docs, rows, monkeypatch):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     places = defaultdict(list)

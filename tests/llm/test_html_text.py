@@ -56,3 +56,20 @@ def test_marked_wrappers():
     assert main_text(page(f"{article}<div class='comments'>{article * 3}</div>")) == f"Title\n{LONG}"
     assert main_text(page(f"{article}<div class='sidebar'><article><p>Short.</p></article></div>")) == f"Title\n{LONG}"
     assert main_text(page(f"<p>{LONG}</p><div class='comments'>{side * 4}</div>")) == LONG
+
+
+def test_attributes_and_wrappers_do_not_swallow_text():
+    article = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    for start in ("<div title=it's>", "<div title='a>b' data-id=ad>", '<div title="class=ad">', '<div class="content with-sidebar">', '<div id="page-header-wrap">', "<div hidden class>", "<div a=\"x'y\" b='p\"q'>"):
+        assert main_text(page(f"{start}{article}")) == f"Title\n{LONG}", start
+    inner = f"<p title=it's>{LONG}</p><p>It's {LONG}</p>"
+    assert main_text(page(f"<article>{inner}</article>")) == f"{LONG}\nIt's {LONG}"
+
+
+def test_rows(spark):
+    """Repeated rows, names that clash, a long page, an empty table."""
+    rows = [(1, "u", "<p>Text of it.</p>", 5), (1, "u", "<p>Text of it.</p>", 5), (None, None, None, None), (2, "v", f"<article>{'<p>' + LONG * 3000}</article>", 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int").withColumnRenamed("n_chars", "text")
+    got = sorted(extract(pages).collect(), key=lambda r: (r.page_id or 0))
+    assert [(r.page_id, r.text) for r in got[:3]] == [(None, ""), (1, "Text of it."), (1, "Text of it.")] and got[3].n_chars == len(" ".join([LONG * 3000]))
+    assert extract(pages.limit(0)).count() == 0
