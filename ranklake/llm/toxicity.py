@@ -82,7 +82,7 @@ def tree(votes: np.ndarray, weights: np.ndarray, least: float = 0.01) -> np.ndar
     """
     n, j = votes.shape
     info = np.zeros((j, j))
-    for q in weights:
+    for q in (w.astype(np.float32) for w in weights):
         total = q.sum() + 4
         both = (votes * q[:, None]).T @ votes + 1
         ones = (votes * q[:, None]).sum(0) + 2
@@ -110,19 +110,18 @@ def label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.97, roun
     known = labels >= 0
     share = np.clip(labels[known].mean(), 1e-4, 1 - 1e-4)
     posterior = np.where(known, np.where(labels == 1, trust, 1 - trust), share)
+    votes = votes.astype(np.uint8)
     average = (votes.sum(0) + 0.5) / (len(votes) + 1)
     for r in range(rounds):
         classes = (1 - posterior, posterior)
         if r % 5 == 0:
-            parent = tree(votes, classes)
-            given = np.where(parent[None, :] >= 0, votes[:, parent], 0)
+            parent = tree(votes.astype(np.float32), classes)
+            # a voter's vote beside its parent's, one byte each
+            pairs = [votes[:, j] + (2 * votes[:, i] if i >= 0 else 0) for j, i in enumerate(parent)]
         logit = noisy + np.log(np.clip(posterior.mean(), 1e-4, 1 - 1e-4) / np.clip(1 - posterior.mean(), 1e-4, 1))
-        for q, sign in zip(classes, (-1, 1), strict=True):
-            for value in (0, 1):
-                here = given == value
-                seen = (here * q[:, None]).sum(0)
-                rate = ((here * votes * q[:, None]).sum(0) + average) / (seen + 1)
-                logit = logit + sign * np.where(here, np.where(votes == 1, np.log(rate), np.log(1 - rate)), 0).sum(1)
+        for j, pair in enumerate(pairs):
+            rate = [(n[1::2] + average[j]) / (n[::2] + n[1::2] + 1) for n in (np.bincount(pair, weights=q, minlength=4) for q in classes)]
+            logit += np.log(np.stack([(1 - rate[1]) / (1 - rate[0]), rate[1] / rate[0]], axis=1)).ravel()[pair]
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
@@ -182,113 +181,6 @@ def fit(rows: DataFrame, *, tasks: int = 16, min_share: float = 0.01, min_odds:
     return model
 
 
-def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights + self.intercept, -30, 30))))
-
-
-def tree(votes: np.ndarray, weights: np.ndarray, least: float = 0.01) -> np.ndarray:
-    """Each voter's parent in the tree of strongest dependence given the class, -1 for none (Chow and Liu).
-
-    ``weights`` are the posteriors of both classes.  Dependence is mutual information in nats; links under ``least`` are left out.
-    """
-    n, j = votes.shape
-    info = np.zeros((j, j))
-    for q in weights:
-        total = q.sum() + 4
-        both = (votes * q[:, None]).T @ votes + 1
-        ones = (votes * q[:, None]).sum(0) + 2
-        for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
-            joint = both if x and y else ones[:, None] - both if x else ones[None, :] - both if y else total - ones[:, None] - ones[None, :] + both
-            joint = np.maximum(joint, 0.5)
-            of_x, of_y = (ones if x else total - ones), (ones if y else total - ones)
-            info += joint / n * np.log(joint * total / (of_x[:, None] * of_y[None, :]))
-    parent, best, inside = np.full(j, -1), np.full(j, least), np.zeros(j, bool)
-    for _ in range(j):  # Prim's way; a voter whose best link is too weak starts a tree of its own
-        i = int(np.where(inside, -np.inf, best).argmax())
-        inside[i] = True
-        closer = (info[i] > best) & ~inside
-        best[closer], parent[closer] = info[i][closer], i
-    return parent
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.97, rounds: int = 25) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 ``votes``; ``labels`` are 0, 1 or -1 for none.
-
-    A label is one more voter, right with probability ``trust``.  The others depend on the class and
-    on one other voter, their parent: accuracies and correlations are rates by class and parent's vote.
-    """
-    noisy = np.log(trust / (1 - trust)) * np.where(labels < 0, 0, 2 * labels - 1)
-    known = labels >= 0
-    share = np.clip(labels[known].mean(), 1e-4, 1 - 1e-4)
-    posterior = np.where(known, np.where(labels == 1, trust, 1 - trust), share)
-    average = (votes.sum(0) + 0.5) / (len(votes) + 1)
-    for r in range(rounds):
-        classes = (1 - posterior, posterior)
-        if r % 5 == 0:
-            parent = tree(votes, classes)
-            given = np.where(parent[None, :] >= 0, votes[:, parent], 0)
-        logit = noisy + np.log(np.clip(posterior.mean(), 1e-4, 1 - 1e-4) / np.clip(1 - posterior.mean(), 1e-4, 1))
-        for q, sign in zip(classes, (-1, 1), strict=True):
-            for value in (0, 1):
-                here = given == value
-                seen = (here * q[:, None]).sum(0)
-                rate = ((here * votes * q[:, None]).sum(0) + average) / (seen + 1)
-                logit = logit + sign * np.where(here, np.where(votes == 1, np.log(rate), np.log(1 - rate)), 0).sum(1)
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton's method."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x1.shape[1]), np.full(x1.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(penalty), x1.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
-
-
-def fit(rows: DataFrame, *, max_fit: int = 20_000, max_lexicon: int = 300, min_share: float = 0.01, min_odds: float = 3.0) -> Model:
-    """A model from ``rows(doc_id, text, toxic)``, of which at most ``max_fit`` are used."""
-    sample = checkpoint(rows.filter("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit))
-    n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    if n.bad in (0, n.n):
-        share = n.bad / n.n if n.n else 0.0
-        return Model([], np.zeros(len(PATTERNS) + 2), 30.0 if share else -30.0)
-
-    def words(batches):
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = sorted(set(words_of(text.as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["word", "toxic"])
-
-    seen = sample.select("text", F.col("toxic").cast("int")).mapInArrow(words, "word string, toxic int")
-    seen = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    least = max(4, int(min_share * n.bad))
-    odds = F.log((F.col("bad") + 0.5) / (n.bad + 1)) - F.log((F.col("good") + 0.5) / (n.n - n.bad + 1))
-    chosen = seen.filter(F.col("bad") >= least).withColumn("odds", odds).filter(F.col("odds") >= min_odds)
-    # strength of evidence: odds that also hold for many rows
-    best = chosen.orderBy((F.col("odds") * F.sqrt("bad")).desc(), "word").limit(max_lexicon).collect()
-    model = Model([r.word for r in best], np.zeros(0), 0.0)
-
-    width = len(model.lexicon) + len(PATTERNS) + 2
-
-    def featured(batches):
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([model.features(text.as_py()).tolist()]), pa.array([toxic], pa.int32())], names=["x", "toxic"])
-
-    got = sample.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "x array<double>, toxic int").toPandas()
-    x, y = np.array(got["x"].tolist()).reshape(-1, width), got["toxic"].to_numpy()
-    posterior = label_model(x[:, :-2], y)
-    model.weights, model.intercept = logistic(x, posterior)
-    return model
-
-
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_fit: int = 20_000, **options) -> DataFrame:
     """``(id, held_out, score, predicted)`` of every row; ``labels(id, toxic)`` are learned from but for held-out rows."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
