@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", item: str = "item_id") -> DataFrame:
@@ -34,32 +38,61 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: f
     return top_k(scores.withColumn("score", F.round("score", 9)), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of ``width`` numbers as rows of length 1; a null or near-zero one, or one of another width, is all NaN."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    numbers = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    norm = np.linalg.norm(numbers, axis=1, keepdims=True)
+    out = np.full((len(vectors), width), np.nan)
+    out[fits.to_numpy(zero_copy_only=False)] = numbers / np.where(norm > 1e-8, norm, np.nan)
+    return out
 
 
-def cosine_search(items: DataFrame, queries: DataFrame, k: int = 20, max_queries: int = 5_000) -> DataFrame:
+def cosine_search(items: DataFrame, queries: DataFrame, k: int = 20, max_queries: int = 100_000) -> DataFrame:
     """Exact cosine search of ``items(item_id, vector)`` for ``queries(query_id, vector)``.
 
-    Up to ``max_queries`` queries are broadcast, checked by a count; more go in blocks of that many.
-    Zero vectors and scores that are not finite give no rows.
+    Items are read once for each ``max_queries`` queries, which are broadcast as a matrix; blocks of
+    items times blocks of queries are matrix products, of which each keeps its best ``k`` a query
+    and what ties with them.  Zero vectors, vectors of another width than the widest query's and
+    scores that are not finite give no rows.
     """
-
-    def unit(df, name):
-        norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
-        return df.select(F.col(name), F.col("vector").alias(f"{name}_v"), norm.alias(f"{name}_n")).filter(f"{name}_n > 1e-8")
-
-    blocks = max(1, -(-queries.count() // max_queries))
-    left, right, out = unit(items, "item_id"), unit(queries, "query_id"), None
+    if k < 1:
+        raise ValueError("top_k must be at least 1")
+    left = items.select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    right = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
+    width, blocks = max(1, size.width), max(1, -(-size.n // max_queries))
+    schema = StructType([right.schema["query_id"], left.schema["item_id"], StructField("score", DoubleType())])
+    out = None
     for i in range(blocks):
         part = right.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else right
-        score = dot(F.col("item_id_v"), F.col("query_id_v")) / (F.col("item_id_n") * F.col("query_id_n"))
-        scores = left.crossJoin(F.broadcast(part)).select("query_id", "item_id", F.round(score, 9).alias("score"))
-        best = top_k(scores.filter(~F.isnan("score") & (F.abs("score") < float("inf"))), k)
+        held = part.toArrow().combine_chunks()
+        ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in held.columns)
+        shared = items.sparkSession.sparkContext.broadcast((ids, unit_rows(vectors, width)))
+        best = top_k(left.mapInArrow(_best_of(shared, width, k), schema).withColumn("score", F.round("score", 9)), k)
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _best_of(shared, width: int, k: int):
+    def run(batches):
+        ids, matrix = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                rows = unit_rows(part.column("vector"), width)
+                for first in range(0, len(matrix), 1000):
+                    scores = rows @ matrix[first : first + 1000].T
+                    scores[~np.isfinite(scores)] = -np.inf
+                    cut = np.partition(scores, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else -np.inf
+                    # scores are compared after rounding, so near ties stay
+                    item, query = np.nonzero((scores > -np.inf) & (scores >= cut - 1e-8))
+                    columns = [ids.take(pa.array(query + first)), part.column("item_id").take(pa.array(item)), pa.array(scores[item, query])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "item_id", "score"])
+
+    return run
+
+
 def candidates(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     """The union of two ranked lists, with ranks, scores and where each candidate comes from."""
     a = keyword.select("query_id", "item_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, with_tokens
-from ..operators import checks, evaluation, personalization, retrieval
+from ..operators import checks, evaluation, lsa, personalization, retrieval
 from ..sources.files import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +53,16 @@ qt as (select query_id, token, count(*) qtf from (select query_id, unnest(tokens
 """
 
 
-def bm25_sql(name: str, b: float) -> str:
+def bm25_sql(name: str, b: float, depth: int = 20) -> str:
     return f"""{name} as (select * from (select *, row_number() over (partition by query_id order by score desc, item_id) rank from (
   select query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.5::double / (tf + 1.5::double * (1 - {b}::double + {b}::double * dl / avgdl)))), 9) score
-  from qt join tf using (token) join df using (token) cross join st group by all)) where rank <= 20)"""
+  from qt join tf using (token) join df using (token) cross join st group by all)) where rank <= {depth})"""
 
 
-FUSED = f"""with {BM25}{bm25_sql('a', 0.75)}, {bm25_sql('s', 0.0)},
+#: Candidates a channel hands to fusion; the fused list is cut afterwards.
+DEPTH = 100
+
+FUSED = f"""with {BM25}{bm25_sql('a', 0.75, DEPTH)}, {bm25_sql('s', 0.0, DEPTH)},
 c as (select coalesce(a.query_id, s.query_id) query_id, coalesce(a.item_id, s.item_id) item_id, a.rank ar, a.score asc_, s.rank sr, s.score ssc
   from a full join s on a.query_id = s.query_id and a.item_id = s.item_id)
 """
@@ -76,8 +79,8 @@ def token_counts(spark, sf_dir):
 
 
 def channels(spark, sf_dir):
-    """Both are BM25, cut to the top 20 as in the SQL: until LSA exists, b = 0 stands in for the semantic channel."""
-    return keyword(spark, sf_dir), keyword(spark, sf_dir, b=0.0)
+    """Both are BM25, so that SQL can follow: b = 0 stands in for the semantic channel, see ``hybrid_search``."""
+    return keyword(spark, sf_dir, DEPTH), keyword(spark, sf_dir, DEPTH, b=0.0)
 
 
 @query(FUSED + "select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) rank from (select query_id, item_id, round(coalesce(1/(60::double+ar),0)+coalesce(1/(60::double+sr),0),9) score from c)) where rank <= 20")
@@ -149,6 +152,46 @@ def dense_search(spark, sf_dir):
     return retrieval.cosine_search(vectors, queries).select("query_id", "item_id", "rank")
 
 
+def catalogue(spark, sf_dir):
+    """Parts as texts, and each name among them as a query."""
+    part = table(spark, sf_dir, "part")
+    items = part.select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return items, part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
+
+
+@query(
+    r"""with d as (select p_partkey item_id, lower(concat_ws(' ', p_name, p_type, p_brand)) t from part),
+w as (select item_id, regexp_extract_all(t, '\b\w\w+\b') ws from d),
+c as (select item_id, ' ' || unnest(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) || ' ' p from d),
+g as (select item_id, 'w:' || unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) feature from w
+ union all select item_id, 'c:' || substr(p, i, k) from (select item_id, p, k, unnest(range(1, length(p) - k + 2)) i from c, (select unnest([3, 4, 5]) k) where length(p) >= k)),
+tf as (select item_id, feature, count(*) tf from g group by all), df as (select feature, count(*) df from tf group by all)
+select item_id, feature, round((case when feature like 'w:%' then 1::double else 0.5::double end) * (1 + ln(tf)) * (ln((1 + (select count(*) from part)) / (1 + df)::double) + 1), 6) weight from tf join df using (feature)"""
+)
+def tfidf_weights(spark, sf_dir):
+    return lsa.tfidf(catalogue(spark, sf_dir)[0])[0].select("item_id", "feature", F.round("w", 6).alias("weight"))
+
+
+def semantic(spark, sf_dir, k):
+    items, queries = catalogue(spark, sf_dir)
+    model = lsa.fit(items)
+    return lsa.search(model, lsa.transform(model, items), queries, k)
+
+
+def lsa_search(spark, sf_dir):
+    """SQL has no SVD; a test holds it against a dense one."""
+    return semantic(spark, sf_dir, 20)
+
+
+def hybrid_search(spark, sf_dir):
+    """BM25 and latent-semantic candidates, fused by reciprocal ranks."""
+    items, queries = (with_tokens(df, "text").drop("text") for df in catalogue(spark, sf_dir))
+    return retrieval.fuse_rrf(retrieval.candidates(retrieval.bm25(items, queries, k=DEPTH), semantic(spark, sf_dir, DEPTH))).select("query_id", "item_id", "score", "rank")
+
+
+QUERIES |= {"lsa_search": lsa_search, "hybrid_search": hybrid_search}
+
+
 def behaviour(spark, sf_dir):
     """Events with a session per user and day, and the part each refers to."""
     n = table(spark, sf_dir, "part").count()
