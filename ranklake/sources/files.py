@@ -34,6 +34,29 @@ def write_csv(df: DataFrame, folder: str, name: str, force: bool = False) -> Non
     df.select(*made).write.mode("overwrite" if force else "errorifexists").option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
 
 
+def read_tables(spark: SparkSession, folder: str, typed: bool = True) -> dict[str, DataFrame]:
+    """All base tables; one whose file is not there is empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = {}
+    for name in SCHEMAS:
+        there = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{name}.csv"))
+        made[name] = read_csv(spark, folder, name, typed) if there else spark.createDataFrame([], SCHEMAS[name] if typed else ", ".join(f"{c} string" for c, _ in columns(name)))
+    return made
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, force: bool = False) -> None:
+    for name, df in tables.items():
+        write_csv(df, folder, name, force)
+
+
+def last_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the last one in the order of the files."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.withColumn("__place", F.monotonically_increasing_id())
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__place").alias("__last")).select(*keys, "__last.*").select(*df.columns)
+
+
 def load_qrels(spark: SparkSession, folder: str) -> DataFrame:
     """``(query_id, item_id, grade)``; fails on grades other than 1 to 3 and on repeated pairs."""
     rows = read_csv(spark, folder, "qrels", typed=False).select(F.trim("query_id").alias("query_id"), F.trim("item_id").alias("item_id"), F.trim("relevance_grade").try_cast("int").alias("grade"))
