@@ -6,7 +6,8 @@ So every prefix of a piece has one last token, and the transducer reads a piece
 state holds, for each position from which a longer token may still start, the tokens not emitted
 yet; tokens that all of these share are emitted, so the lookahead is bounded by the longest token.
 Transitions are worked out when first met and kept, up to ``max_transitions``, after which the
-cache starts anew: memory is bounded and results do not depend on it.
+cache starts anew: memory is bounded and results do not depend on it.  Ids of short pieces are kept in two
+generations: the older one goes when the younger is full, and pieces met again move to the younger.
 
 Decoding streams ids through an incremental UTF-8 state machine.
 
@@ -41,7 +42,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes; ``ranks`` must hold all single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 400_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
@@ -157,21 +158,25 @@ class Transducer:
 
 
 class Tokenizer:
-    """Splits text by ``pattern`` and encodes each match; keeps the ids of up to ``max_pieces`` short pieces."""
+    """Splits text by ``pattern`` and encodes each match; keeps the ids of up to ``max_pieces`` short pieces, and those of one text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
-        self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 250_000, max_transitions: int = 400_000):
+        self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks, max_transitions)
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_pieces = max_pieces
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
-        found, pieces = self.pattern.findall(text), self.pieces
-        if len(pieces) >= self.max_pieces:
-            pieces.clear()
+        if 2 * len(self.pieces) >= self.max_pieces:
+            self.older, self.pieces = self.pieces, {}
+        found, pieces, older = self.pattern.findall(text), self.pieces, self.older
         long: dict[str, bytes] = {}
         for piece in set(found).difference(pieces):
+            if piece in older:
+                pieces[piece] = older.pop(piece)
+                continue
             held = pieces if len(piece) <= 64 else long
             ids = self.transducer.encode(piece.encode())
             held[piece] = struct.pack(f"<{len(ids)}I", *ids)
@@ -189,23 +194,24 @@ class Tokenizer:
         machine.decode(b"", True)
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer_of(ranks: bytes, pattern: str) -> Tokenizer:
+@functools.lru_cache(maxsize=1)
+def tokenizer_of(ranks: bytes, pattern: str, max_pieces: int, max_transitions: int) -> Tokenizer:
     """One tokenizer for all tasks that a worker process runs: transitions are worked out once."""
-    return Tokenizer(read_ranks(ranks), pattern)
+    return Tokenizer(read_ranks(ranks), pattern, max_pieces, max_transitions)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_pieces: int = 250_000, max_transitions: int = 400_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every row; ``with_ids`` adds ``token_ids``.
 
-    ``ranks`` is the content of a rank file, read by the driver: a vocabulary of fixed size.
+    ``ranks`` is the content of a rank file, read by the driver: a vocabulary of fixed size.  A worker's caches take about
+    200 bytes a piece and 600 a transition.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     source = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"))
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<bigint>" if with_ids else "")
 
     def run(batches):
-        tokenizer = tokenizer_of(shared.value, pattern)
+        tokenizer = tokenizer_of(shared.value, pattern, max_pieces, max_transitions)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

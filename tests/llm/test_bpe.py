@@ -38,3 +38,12 @@ def test_query_rows(spark):
         want.append((key, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, encode(docs, data, P.PATTERN).collect()), key=str) == sorted(want, key=str)
     assert encode(docs.limit(0), data, P.PATTERN).count() == 0
+
+
+def test_small_caches():
+    ranks = read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    small, large = Tokenizer(ranks, P.PATTERN, max_pieces=8, max_transitions=60), Tokenizer(ranks, P.PATTERN)
+    texts = ["one two three four five six seven", "two three eight", "", "neun zehn " * 3, "one two x" * 40, "ununterbrochenheitlichkeit" * 20, "one seven"]
+    for text in texts * 3:
+        assert small.encode(text).tolist() == large.encode(text).tolist()
+        assert "".join(small.decode(small.encode(text), block=3)) == text
