@@ -41,7 +41,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, as digests, with the decoded text's digest."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    # idle workers keep their caches beside the next stages' memory, so they are smaller here
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, max_pieces=100_000, max_transitions=120_000)
 
 
 STAGES = [
