@@ -95,6 +95,23 @@ def test_judgement_rules(spark):
     assert judged.n_bad == 1
 
 
+def test_judgements_rate_kinds_of_items(spark, monkeypatch):
+    looks = [("Oak desk lamp", "a lamp for the desk of oak", "Office", "Lamps", "Oakly"), ("Steel desk", "desk", "Garden", "Pots", "Mossop"), ("Bowl", "", "Kitchen", "Bowls", "Oakly")]
+    items = [(f"i{n:03}", *looks[n % 3]) for n in range(300)]
+    queries = [("q1", "OAKLY lamps for a desk", "Office", "a lamp of oak"), ("q2", "desk", "Kitchen", "none"), ("q3", "bowl", "Garden", "")]
+    rated, pairs = [], judgements.pairs
+    monkeypatch.setattr(judgements, "pairs", lambda i, q, most: rated.append(i.count()) or pairs(i, q, most))
+    schema = "item_id string, title string, description string, category string, subcategory string, brand string"
+    few = spark.createDataFrame(queries, "query_id string, query_text string, intended_category string, semantic_intent string")
+    rows = judgements.grade(spark.createDataFrame(items, schema), few).collect()
+    assert rated == [3]
+    assert {(r.query_id, r.item_id): r.grade for r in rows} == brute_grades(items, queries) and len(rows) == len(brute_grades(items, queries))
+    # null ids, repeated rows, nulls in what is looked at: a row each; a query takes a named item first
+    odd = [(None, *looks[0]), ("i1", *looks[0]), ("i1", *looks[0]), (None, None, None, "Kitchen", None, None), ("i2", None, None, "Kitchen", None, None), (None, *looks[1])]
+    got = sorted((r.query_id, r.item_id or "", r.grade) for r in judgements.grade(spark.createDataFrame(odd, schema), few.filter("query_id != 'q3'")).collect())
+    assert got == [("q1", "", 3), ("q1", "i1", 3), ("q1", "i1", 3), ("q2", "", 1), ("q2", "i1", 2), ("q2", "i2", 1)]
+
+
 def test_reports(spark, tmp_path):
     profile = spark.createDataFrame([("u", "warm"), ("v", "cold_start")], "user_id string, status string")
     prefs = spark.createDataFrame([("u", "brand", "b", 0.25), ("u", "brand", "a", 0.25), ("u", "brand", "c", 0.5)], "user_id string, dim string, value string, weight double")
