@@ -4,12 +4,12 @@ The model is of character 4-grams (16 bits each, so a 4-gram is one long), train
 the trusted texts (by a hash of the text, so equal texts stay together).  Counts, continuation counts, discounts, back-off weights and probabilities are tables sharded
 by n-gram and joined; the corpus's distinct 4-grams are gathered over all texts, joined with the
 model, and give one table of log probabilities.  Its size is checked: up to ``max_table`` rows it is
-broadcast and texts never move; beyond, per-document 4-gram counts are joined with it.  The model is
-trained on, and thresholds come from, the texts of at most ``max_trusted`` trusted ids, chosen by
-hash; what it is joined with is gathered from all texts.
+broadcast and texts never move; beyond, per-document 4-gram counts are joined with it.  Every trusted
+text is either trained on or sets the thresholds; none is left out.  Up to ``max_ids`` trusted ids are
+broadcast, at 8 bytes each; beyond, texts are joined with them, with the same result.
 
-A document is rejected if its perplexity is above its language's threshold, the ``quantile`` of the
-language's trusted documents that the model was not trained on (of those of all languages for a
+A document is rejected if its perplexity is above its language's threshold, the exact ``quantile`` of
+the language's trusted documents that the model was not trained on (of those of all languages for a
 language without any; where no text is held out, of the trained ones).
 
 Defined results: null and empty texts have null perplexity and are rejected; without trusted texts
@@ -22,16 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, checkpoint
 
 ORDER = 4
 #: One of so many parts of the trusted texts is held out of training and sets the thresholds.
 FOLDS = 3
-#: Languages with thresholds of their own; more than there are.
+#: The thresholds of so many languages are broadcast; those of more are joined by a shuffle.
 MAX_LANGUAGES = 10_000
 
 
@@ -162,14 +162,49 @@ def perplexities(rows: DataFrame, table: DataFrame, shared: Broadcast | None, sc
     return numbered.join(sums, "__row", "left").select(*(f.name for f in columns), "__perplexity")
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, max_table: int, max_trusted: int) -> DataFrame:
+def with_ids(rows: DataFrame, ids: DataFrame, max_ids: int) -> DataFrame:
+    """The ``rows(__id, ...)`` whose id is one of the distinct ``ids(__id)``, without the id; texts stay where they are up to ``max_ids``."""
+    ids = ids.filter("__id is not null")
+    if ids.count() > max_ids:
+        return rows.join(ids, "__id", "left_semi").drop("__id")
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["ids"])
+
+    parts = [np.frombuffer(r.ids, np.int64) for r in ids.mapInArrow(packed, "ids binary").collect()]
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, np.int64), *parts])))
+
+    def listed(batches):
+        known = shared.value
+        for batch in batches:
+            given = batch.column("__id")
+            value = given.fill_null(0).to_numpy()
+            at = np.searchsorted(known, value)
+            found = np.zeros(len(value), bool)
+            inside = at < len(known)
+            found[inside] = known[at[inside]] == value[inside]
+            yield batch.drop_columns(["__id"]).filter(pa.array(found & given.is_valid().to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(listed, rows.drop("__id").schema)
+
+
+def thresholds(limits: DataFrame, quantile: float) -> DataFrame:
+    """``(__all, __of, __limit)``: the perplexity of rank ``quantile`` for each language of ``limits(__lang, __perplexity)``, and for all together."""
+    groups = F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("of")), F.struct(F.lit(False).alias("all"), F.col("__lang").cast("string").alias("of")))
+    each = limits.select(F.explode(groups).alias("x"), "__perplexity")
+    sizes = each.groupBy("x").agg(F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.count("*"))).alias("rank"))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("__perplexity")).cast("bigint"))
+    found = ranked.join(sizes, "x").filter("n = rank")
+    return found.select(F.col("x.all").alias("__all"), F.col("x.of").alias("__of"), F.col("__perplexity").alias("__limit"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, max_table: int, max_ids: int) -> DataFrame:
     """``docs`` with ``__perplexity`` and ``__threshold``."""
     scratch = Scratch(docs.sparkSession)
-    ids = labels.filter("quality = 1").select(F.col(id_col).cast("bigint").alias("__id")).distinct()
-    # at most ``max_trusted`` ids: broadcast, so that no text is shuffled
-    ids = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(max_trusted))
+    ids = scratch.keep(labels.filter("quality = 1").select(F.col(id_col).cast("bigint").alias("__id")).distinct())
     rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    trusted = rows.join(ids, rows[id_col].cast("bigint") == F.col("__id"), "left_semi").select(F.col(lang_col).alias("__lang"), "__text")
+    trusted = with_ids(rows.select(F.col(id_col).cast("bigint").alias("__id"), F.col(lang_col).alias("__lang"), "__text"), ids, max_ids)
     # decided by the text alone: an equal text is never on both sides
     held = F.pmod(F.xxhash64("__text"), F.lit(FOLDS)) == 0
     model = train(trusted.filter(F.col("__text").isNotNull() & ~held).select("__text"), scratch)
@@ -182,27 +217,25 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     limits = scratch.keep(perplexities(trusted.withColumn("__held", held), table, shared, scratch)).filter("__perplexity is not null")
     if not limits.filter("__held").isEmpty():
         limits = limits.filter("__held")
-    percent = F.percentile_approx("__perplexity", F.lit(quantile), F.lit(10000))
-    whole = limits.agg(percent.alias("q")).first().q
-    own = {r["__lang"]: r.q for r in limits.groupBy("__lang").agg(percent.alias("q")).orderBy("__lang").limit(MAX_LANGUAGES).collect()}
-    threshold = F.lit(whole if whole is not None else float("inf")).cast("double")
-    named = [F.lit(x) for lang, q in own.items() if lang is not None for x in (lang, q)]
-    if named:
-        threshold = F.coalesce(F.try_element_at(F.create_map(*named), F.col(lang_col)), threshold)
-    if None in own:
-        threshold = F.when(F.col(lang_col).isNull(), F.lit(own[None])).otherwise(threshold)
-    out = perplexities(rows, table, shared, scratch).withColumn("__threshold", threshold)
+    limit = checkpoint(thresholds(limits, quantile))
+    whole = limit.filter("__all").first()
+    own = limit.filter("not __all").select("__of", "__limit")
+    own = F.broadcast(own) if own.count() <= MAX_LANGUAGES else own
+    scored = perplexities(rows, table, shared, scratch)
+    out = scored.join(own, F.col(lang_col).cast("string").eqNullSafe(F.col("__of")), "left")
+    threshold = F.coalesce(F.col("__limit"), F.lit(whole["__limit"] if whole else float("inf")).cast("double"))
+    out = out.withColumn("__threshold", threshold)
     if shared is not None:  # the join form reads the written tables later
         scratch.drop()
     return out
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, max_table: int = 4_000_000, max_trusted: int = 100_000
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, max_table: int = 4_000_000, max_ids: int = 16_000_000
 ) -> DataFrame:
     """``(id, lang, perplexity, threshold, kept)`` of every row; ``labels(id, quality)`` name trusted texts by 1."""
     few = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(lang_col), F.col(text_col))
-    out = judged(few, labels, id_col, text_col, lang_col, quantile, max_table, max_trusted)
+    out = judged(few, labels, id_col, text_col, lang_col, quantile, max_table, max_ids)
     return out.select(id_col, lang_col, F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), passed().alias("kept"))
 
 
@@ -211,7 +244,7 @@ def passed():
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, max_table: int = 4_000_000, max_trusted: int = 100_000
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, max_table: int = 4_000_000, max_ids: int = 16_000_000
 ) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns; texts stay where they are."""
-    return judged(docs, labels, id_col, text_col, lang_col, quantile, max_table, max_trusted).filter(passed()).select(*docs.columns)
+    return judged(docs, labels, id_col, text_col, lang_col, quantile, max_table, max_ids).filter(passed()).select(*docs.columns)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ranklake.llm.quality_classifier import FOLDS, classify, keep_good
+from ranklake.llm.quality_classifier import FOLDS, classify, keep_good, thresholds, with_ids
 
 
 def test_threshold_is_the_held_out_quantile(spark):
@@ -50,3 +50,34 @@ def test_rows_keep_their_columns(spark):
     assert kept.columns == docs.columns and kept.count() == verdicts.filter("kept").count()
     assert keep_good(docs, labels.limit(0)).count() == docs.filter("trim(coalesce(text, '')) != ''").count()
     assert keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_every_trusted_text_counts(spark):
+    """Among more than 100,000 trusted ids, the held-out text of each language sets its threshold; none is left out."""
+    docs = spark.range(60).selectExpr("id doc_id", "concat('l', id) lang", "concat('text number ', id) text")
+    held = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).collect()}
+    labels = spark.range(150_000).selectExpr("id doc_id", "1 quality")
+    got = {r.doc_id: r for r in classify(docs, labels).collect()}
+    assert len(got) == 60 and len(held) > 10
+    assert [i for i in sorted(held) if got[i].threshold != got[i].perplexity] == []
+
+
+def test_trusted_rows_by_broadcast_and_by_join(spark):
+    rows = spark.createDataFrame([(1, "en", "a"), (1, "de", "b"), (None, "en", "c"), (0, "en", "d"), (7, None, None), (-5, "en", "e")], "__id bigint, __lang string, __text string")
+    for ids in ([1, 7, -5, None], [0], [None], []):
+        listed = spark.createDataFrame([(i,) for i in ids], "__id bigint")
+        want = sorted(((r[1] or "", r[2] or "") for r in rows.collect() if r[0] is not None and r[0] in ids))
+        for most in (100, 0):
+            assert sorted((r[0] or "", r[1] or "") for r in with_ids(rows, listed, most).collect()) == want, (ids, most)
+
+
+def test_thresholds_are_exact(spark):
+    """Of many perplexities, too: the value of that very rank, for each language, for none and for all."""
+    limits = spark.range(300_000).selectExpr("case when id % 3 = 0 then 'a' when id % 3 = 1 then null else concat('l', id % 40) end __lang", "abs(xxhash64(id)) / 1e12 __perplexity")
+    rows = [(r[0], r[1]) for r in limits.collect()]
+    got = {(r["__all"], r["__of"]): r["__limit"] for r in thresholds(limits, 0.99).collect()}
+    keys = {(False, lang) for lang, _ in rows} | {(True, None)}
+    assert got.keys() == keys
+    for every, lang in keys:
+        own = sorted(p for x, p in rows if every or x == lang)
+        assert got[every, lang] == own[int(np.ceil(0.99 * len(own))) - 1], lang
