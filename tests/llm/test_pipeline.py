@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from ranklake.llm import quality_classifier
 
 
 def five_word_links(texts):
@@ -22,3 +25,12 @@ def test_near_duplicates_takes_five_words(spark):
     want = {k for k, c in component.items() if k == c}
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == want and {6, 7} <= got
+
+
+def test_quality_stage_takes_every_trusted_text(spark, tmp_path):
+    """A language whose only trusted text is among more than 100,000 ids, and like no other text, keeps it."""
+    held = F.pmod(F.xxhash64("text"), F.lit(quality_classifier.FOLDS)) == 0
+    odd = spark.range(50).selectExpr("concat('щюя', id) text").filter(held).first().text
+    docs = spark.range(60).selectExpr("id doc_id", "concat('l', id) lang", f"if(id = 3, '{odd}', concat('text number ', id)) text")
+    spark.range(150_000).selectExpr("id doc_id", "1 quality").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).filter("doc_id = 3").count() == 1
