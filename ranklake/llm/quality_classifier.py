@@ -5,7 +5,7 @@ the trusted texts (by a hash of the text, so equal texts stay together).  Counts
 by n-gram and joined; the corpus's distinct 4-grams are gathered over all texts, joined with the
 model, and give one table of log probabilities.  Its size is checked: up to ``max_table`` rows it is
 broadcast and texts never move; beyond, per-document 4-gram counts are joined with it.  Every trusted
-text is either trained on or sets the thresholds; none is left out.  Up to ``max_ids`` trusted ids are
+text is either trained on or sets the thresholds; none is left out.  They are written once.  Up to ``max_ids`` trusted ids are
 broadcast, at 8 bytes each; beyond, texts are joined with them, with the same result.
 
 A document is rejected if its perplexity is above its language's threshold, the exact ``quantile`` of
@@ -204,7 +204,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     scratch = Scratch(docs.sparkSession)
     ids = scratch.keep(labels.filter("quality = 1").select(F.col(id_col).cast("bigint").alias("__id")).distinct())
     rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    trusted = with_ids(rows.select(F.col(id_col).cast("bigint").alias("__id"), F.col(lang_col).alias("__lang"), "__text"), ids, max_ids)
+    # written: read again by two Python steps, which would hold a worker more in each task beside this one's
+    trusted = scratch.keep(with_ids(rows.select(F.col(id_col).cast("bigint").alias("__id"), F.col(lang_col).alias("__lang"), "__text"), ids, max_ids))
     # decided by the text alone: an equal text is never on both sides
     held = F.pmod(F.xxhash64("__text"), F.lit(FOLDS)) == 0
     model = train(trusted.filter(F.col("__text").isNotNull() & ~held).select("__text"), scratch)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ranklake.llm import quality_classifier
 from ranklake.llm.quality_classifier import FOLDS, classify, keep_good, thresholds, with_ids
 
 
@@ -81,3 +82,18 @@ def test_thresholds_are_exact(spark):
     for every, lang in keys:
         own = sorted(p for x, p in rows if every or x == lang)
         assert got[every, lang] == own[int(np.ceil(0.99 * len(own))) - 1], lang
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    """What goes into a Python step comes from files: two steps in one task would hold two workers, which stay with their memory."""
+    plans = []
+    for name in ("counted", "perplexities"):
+
+        def seen(rows, *more, step=getattr(quality_classifier, name)):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return step(rows, *more)
+
+        monkeypatch.setattr(quality_classifier, name, seen)
+    docs = spark.range(60).selectExpr("id doc_id", "concat('l', id % 3) lang", "concat('text number ', id) text")
+    assert keep_good(docs, spark.range(30).selectExpr("id doc_id", "1 quality")).count() > 0
+    assert len(plans) == 4 and [p for p in plans if "MapInArrow" in p] == []
